@@ -51,3 +51,10 @@ def ascii_lower(c: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n)).cast("int")
+
+
+def text_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Bound the rows of whole texts that a Python worker holds at once, unless the session already sets fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
