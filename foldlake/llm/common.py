@@ -58,3 +58,20 @@ def text_batches(spark: SparkSession, rows: int = 256) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def bounded_sample(df: DataFrame, id_col: str, rows: int, by: str | None = None) -> DataFrame:
+    """About ``rows`` rows of ``df`` (of each value of ``by``), all if there are fewer, chosen by a hash of the id.
+
+    The number is a bound in expectation; the hash is uniform, so for 1,000 rows or more it is exceeded by under a
+    tenth. Only the counts reach the driver.
+    """
+    if by is None:
+        n = df.count()
+        share = F.lit(rows / n if n else 1.0)
+    else:
+        counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+        share = F.lit(0.0)
+        for value, n in counts.items():
+            share = F.when(F.col(by) == F.lit(value), rows / n).otherwise(share)
+    return df.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
