@@ -13,6 +13,7 @@ kept. A null id stays null. A text of any length is tokenised whole. An empty ta
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +26,30 @@ from .common import cut, text_batches
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces in a partition: what one task packs.
 PART = 20_000
-#: Words that a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Words, and parts of words, that a worker remembers the ids of.
+REMEMBERED = 500_000
+#: Letters under this one have one form only, in either case.
+LATIN_END = "\u0250"
 
 _loaded: dict[str, tuple] = {}
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer that never joins what a space or line end parts: each word is encoded once, then
-    remembered. The result is that of encoding the whole text."""
+    """Ids of texts for a tokenizer that lower-cases, drops white space and never joins letters with other characters.
+
+    Spaces and line ends part words, and a word of letters with a mark behind it is parted there, so that each word and
+    each run of letters is encoded once and then remembered. The result is that of encoding the whole text; what is not
+    of that simple form is left to the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.pieces = self.tokenizer.model.tokenize
+        shown = [b for b in range(256) if chr(b).isprintable() and chr(b) not in " \xa0\xad"]  # byte-level BPE shows a byte as itself
+        hidden = [b for b in range(256) if b not in set(shown)]  # ... or as a letter from 256 on
+        self.as_letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -46,14 +57,39 @@ class WordEncoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
+    @staticmethod
+    def split(word: str) -> tuple[str, ...]:
+        """Parts whose ids, joined, are the word's: lower-cased letters and the mark behind them, else the word."""
+        low = word.lower()
+        if low.isalpha():
+            return (low,) if low.isascii() or max(low) < LATIN_END else (word,)
+        head, mark = low[:-1], low[-1:]
+        if head.isalpha() and mark in ".,;:!?" and (head.isascii() or max(head) < LATIN_END):
+            return head, mark
+        return (word,)
+
+    def _ids(self, part: str) -> bytes:
+        """A part of letters needs no normaliser or splitting and goes straight to the BPE model."""
+        if part.isalpha() and part.islower() and (part.isascii() or max(part) < LATIN_END):
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_letters)
+            return array("I", [p.id for p in self.pieces(shown)]).tobytes()
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), "<u4") for ws in words]
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        known, parts = self.known, self.parts
+        for word in set().union(*words).difference(known):
+            ids = b""
+            for p in self.split(word):
+                if p not in parts:
+                    parts[p] = self._ids(p)
+                ids += parts[p]
+            known[word] = ids
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in words]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
