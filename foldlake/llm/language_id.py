@@ -1,10 +1,10 @@
 """Language identification: averaged embeddings of hashed subwords under a linear softmax.
 
-A text is the mean of the vectors of its words' subwords (the word and its character 2- to 4-grams, with marked ends,
-hashed into buckets). Vectors and softmax are trained together by stochastic gradient descent in numpy on a bounded
+A text is the mean of the vectors of its words' subwords (the character 2- to 4-grams of its lower-cased words, ends
+included as spaces, hashed into buckets). Vectors and softmax are trained together by stochastic gradient descent in numpy on a bounded
 sample of labelled documents, about ``per_lang`` of each language. A tenth of the sample is held back to fit the softmax
 temperature and the confidence under which a prediction counts as rejected. Scoring runs where the documents lie, over
-whole texts; a worker remembers the summed vector of each word it has met, up to a bound.
+whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected. Equal texts get equal
 results. With no labelled row every text is ``und``. Ties go to the language first in order. A null id is no hindrance.
@@ -13,7 +13,6 @@ results. With no labelled row every text is ``und``. Ties go to the language fir
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, text_batches
 
 UND = "und"
-REMEMBERED = 100_000
+#: Odd multipliers of the hash.
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], "u8")
+SHIFT = np.uint64(40)
 
 
 @dataclass(frozen=True)
@@ -41,15 +42,20 @@ class Settings:
     seed: int = 7
 
 
-def subwords(word: str, s: Settings) -> list[int]:
-    """Buckets of the word and of its character n-grams."""
-    w = f"<{word}>"
-    grams = [w[i : i + n] for n in range(s.grams[0], s.grams[1] + 1) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in (*grams, w)]
-
-
-def words(text: str) -> Counter:
-    return Counter(text.lower().split())
+def subwords(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of the text's n-grams: none reaches over the space between two words."""
+    a = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    inside, h, every, inner = a != 32, a, [], None
+    for n in range(2, s.grams[1] + 1):
+        h = h[:-1] * MIX[0] + a[n - 1 :]
+        if n > 2:
+            middle = inside[n - 2 : len(inside) - 1]
+            inner = middle if inner is None else inner[:-1] & middle
+        if n >= s.grams[0]:
+            every.append(h if inner is None else h[inner])
+    counts = np.bincount(((np.concatenate(every) * MIX[1]) >> SHIFT).astype("i8") % s.buckets, minlength=s.buckets)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 @dataclass
@@ -119,11 +125,8 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out = []
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                total: Counter = Counter()
-                for w, n in words(text).items():
-                    for b in subwords(w, s):
-                        total[b] += n
-                out.append((lang, list(total), [float(n) for n in total.values()]))
+                at, n = subwords(text, s)
+                out.append((lang, at.astype("i4"), n.astype("f4")))
             yield pd.DataFrame(out, columns=["lang", "at", "n"])
 
     sample = bounded_sample(rows, "doc_id", s.per_lang, "lang").mapInPandas(bag, "lang string, at array<int>, n array<float>").toPandas()
@@ -133,33 +136,13 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return train(bags, sample["lang"].tolist(), s)
 
 
-class Scorer:
-    def __init__(self, model: Model, settings: Settings):
-        self.m, self.s = model, settings
-        self.at: dict[str, int] = {}
-        self.sums = np.zeros((1 << 12, settings.dim + 1), "f8")
-
-    def _rows(self, ws: list[str]) -> list[int]:
-        if len(self.at) > REMEMBERED:
-            self.at.clear()
-        for w in ws:
-            if w not in self.at:
-                k = self.at[w] = len(self.at)
-                if k >= len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                b = subwords(w, self.s)
-                self.sums[k, :-1], self.sums[k, -1] = self.m.vectors[b].sum(0, dtype="f8"), len(b)
-        return [self.at[w] for w in ws]
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.m.langs or not any(map(str.isalpha, text)):
-            return UND, 0.0, True
-        bag = words(text)
-        rows = self._rows(list(bag))
-        total = np.fromiter(bag.values(), "f8", len(bag)) @ self.sums[rows]
-        p = _softmax((self.m.weights @ (total[:-1] / total[-1]) + self.m.bias) / self.m.temperature)
-        k = int(p.argmax())
-        return self.m.langs[k], float(p[k]), bool(p[k] < self.m.reject_below)
+def classify(text: str | None, m: Model, s: Settings) -> tuple[str, float, bool]:
+    if text is None or not m.langs or not any(map(str.isalpha, text)):
+        return UND, 0.0, True
+    at, n = subwords(text, s)
+    p = _softmax((m.weights @ ((n / n.sum()) @ m.vectors[at]) + m.bias) / m.temperature)
+    k = int(p.argmax())
+    return m.langs[k], float(p[k]), bool(p[k] < m.reject_below)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict[str, Column] | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -171,9 +154,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value, settings)
         for batch in batches:
-            out = [scorer(t) for t in batch["_text"]]
+            out = [classify(t, sent.value, settings) for t in batch["_text"]]
             yield batch.drop(columns="_text").assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], rejected=[x[2] for x in out])
 
     return rows.mapInPandas(score, schema)
