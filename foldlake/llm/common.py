@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -75,3 +76,15 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, by: str | None = None)
         for value, n in counts.items():
             share = F.when(F.col(by) == F.lit(value), rows / n).otherwise(share)
     return df.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows that a Python worker is sent at once, for the jobs that run within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
