@@ -30,7 +30,16 @@ _KEPT = {*b"0123456789", *LOWER.encode(), *range(128, 256)}
 TABLE = bytes(b if b in _KEPT else (b + 32 if chr(b) in UPPER else 32) for b in range(256))
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], "u8")
 BITS = 22
-POWERS = np.cumprod(np.concatenate([[1], np.full(255, MIX[0])]).astype("u8"))
+
+
+def powers(n: int) -> np.ndarray:
+    """MIX[0] ** i modulo 2 ** 64 for i below n."""
+    out = np.full(n, MIX[0], "u8")
+    out[:1] = 1
+    return np.cumprod(out, dtype="u8")
+
+
+POWERS = powers(256)
 
 GRAM = "struct<k:int,w:int,fp:bigint,at:int,left:array<string>,core:string,right:array<string>>"
 
@@ -38,8 +47,8 @@ GRAM = "struct<k:int,w:int,fp:bigint,at:int,left:array<string>,core:string,right
 class Words:
     """The words of a text: their bytes' places and hashes."""
 
-    def __init__(self, text: str | None):
-        self.bytes = (text or "").encode("utf-8", "replace").translate(TABLE)
+    def __init__(self, text: str | None, table: bytes = TABLE):
+        self.bytes = (text or "").encode("utf-8", "replace").translate(table)
         inside = np.frombuffer(self.bytes, "u1") != 32
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view("i1")))
         self.starts, self.ends = edges[::2], edges[1::2]
@@ -49,8 +58,8 @@ class Words:
             return
         at = np.flatnonzero(inside)
         place = at - np.repeat(self.starts, n)
-        powers = POWERS if n.max() <= len(POWERS) else np.cumprod(np.concatenate([[1], np.full(n.max() - 1, MIX[0])]).astype("u8"))
-        values = (np.frombuffer(self.bytes, "u1")[at].astype("u8") + MIX[2]) * powers[place]
+        power = POWERS if n.max() <= len(POWERS) else powers(int(n.max()))
+        values = (np.frombuffer(self.bytes, "u1")[at].astype("u8") + MIX[2]) * power[place]
         h = np.add.reduceat(values, np.cumsum(n) - n)
         self.hashes = (h ^ (h >> np.uint64(29))) * MIX[1]
 
