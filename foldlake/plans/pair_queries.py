@@ -65,12 +65,12 @@ def sort_report(spark, d):
 _BETWEEN = f"select a.structure_id, count(*) as n from ra a join ra b on b.structure_id = a.structure_id + 1 where a.res_seq >= 4 and {S.distance(A, B)} < a.radius + b.radius + 0.4 group by a.structure_id"
 
 
-@query("clash_between", V.with_views("atoms", more=_RAD) + f"select * from ({_BETWEEN}) where n <= 150")
+@query("clash_between", V.with_views("atoms", more=_RAD) + f"select * from ({_BETWEEN}) where n <= 200")
 def clash_between(spark, d):
     a = _radii(spark, d)
     parents = a.withColumn("structure_id", F.col("structure_id") - 1)
     fragments = pairs.trim_tails(a, ["structure_id"], front=True, back=False)
-    return pairs.clashes_between(fragments, parents, ["structure_id"], widest=1.7).filter("n <= 150")
+    return pairs.clashes_between(fragments, parents, ["structure_id"], widest=1.7).filter("n <= 200")
 
 
 @query("clash_backbone_kd", V.with_views("atoms", more="""ra as (select *, case name when 'N' then 1.55 when 'CA' then 1.7 else 1.7 end as radius, max(res_seq) over (partition by structure_id) as hi from atoms)""") +
@@ -145,9 +145,9 @@ def pair_energy(spark, d):
     return _energies(spark, d).select("structure_id", (F.signum("lj") * F.round(F.log(1 + F.abs("lj")), 5) + 0.0).alias("log_lj"), (F.round("co", 5) + 0.0).alias("coulomb"))
 
 
-@query("energy_filter", V.with_views("atoms", more=_ENERGY) + "select structure_id from et where lj + co <= 100000")
+@query("energy_filter", V.with_views("atoms", more=_ENERGY) + "select structure_id from et where lj + co <= 1e9")
 def energy_filter(spark, d):
-    return _energies(spark, d).filter(F.col("lj") + F.col("co") <= 100_000).select("structure_id")
+    return _energies(spark, d).filter(F.col("lj") + F.col("co") <= 1e9).select("structure_id")
 
 
 _RESIDUE = "re as (select structure_id as id, res_seq, " + ", ".join(f"max({c}) filter (where name = '{n}') as {n.lower()}_{c}" for n in ("N", "CA", "C") for c in "xyz") + " from atoms group by all)"
