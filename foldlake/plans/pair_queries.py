@@ -65,12 +65,12 @@ def sort_report(spark, d):
 _BETWEEN = f"select a.structure_id, count(*) as n from ra a join ra b on b.structure_id = a.structure_id + 1 where a.res_seq >= 4 and {S.distance(A, B)} < a.radius + b.radius + 0.4 group by a.structure_id"
 
 
-@query("clash_between", V.with_views("atoms", more=_RAD) + f"select * from ({_BETWEEN}) where n <= 200")
+@query("clash_between", V.with_views("atoms", more=_RAD) + f"select structure_id, n, n <= 40 as accepted from ({_BETWEEN})")
 def clash_between(spark, d):
     a = _radii(spark, d)
     parents = a.withColumn("structure_id", F.col("structure_id") - 1)
     fragments = pairs.trim_tails(a, ["structure_id"], front=True, back=False)
-    return pairs.clashes_between(fragments, parents, ["structure_id"], widest=1.7).filter("n <= 200")
+    return pairs.clashes_between(fragments, parents, ["structure_id"], widest=1.7).withColumn("accepted", F.col("n") <= 40)
 
 
 @query("clash_backbone_kd", V.with_views("atoms", more="""ra as (select *, case name when 'N' then 1.55 when 'CA' then 1.7 else 1.7 end as radius, max(res_seq) over (partition by structure_id) as hi from atoms)""") +
