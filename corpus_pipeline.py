@@ -23,13 +23,21 @@ TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The whole row as one column, beside id and text: no name of the input can clash with one of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_raw"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores 0.7 or more stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.filter(remainder(F.col("doc_id"), 4) != 2))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    scored = quality.score(docs, model, keep=columns, out=("_score", "_predicted"))
-    return scored.filter(F.col("_predicted") == 1).select(*columns.values())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _unpacked(quality.score(docs, model, keep={"_row": row}).filter(F.col("predicted") == 1), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,19 +51,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bare = groups.filter(has & F.col("component_id").isNull()).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
     keys = cut(keys.unionByName(bare.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("_t").alias("_u"), "_n")).withColumnRenamed("doc_id", "_id"), "stage_keys")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    held = docs.filter(~wordless).withColumn("_h", F.xxhash64("text"))
-    held = held.join(small(keys, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_u")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = _packed(docs.filter(~wordless)).withColumn("_h", F.xxhash64("_raw"))
+    held = held.join(small(keys, 1_000_000), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_u")))
     single, repeated = held.filter("_n = 1"), held.filter("_n > 1")
     one = F.row_number().over(Window.partitionBy("_id", "_u").orderBy("_h"))  # rows of one id and text
-    return single.select(*columns).unionByName(repeated.withColumn("_r", one).filter("_r = 1").select(*columns)).unionByName(docs.filter(wordless))
+    kept = single.select("_row").unionByName(repeated.withColumn("_r", one).filter("_r = 1").select("_row"))
+    return _unpacked(kept, docs).unionByName(docs.filter(wordless))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words lie in benchmark passages of 13 words go."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = cut(found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("_t").alias("_u")).distinct(), "stage_bad")
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_u")), "left_anti")
+    return _unpacked(_packed(docs).join(small(bad), F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_raw") == F.col("_u")), "left_anti"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,9 +179,10 @@ def _pack_round(pieces: DataFrame, size: int, number: int, part: int) -> DataFra
     return cut(dealt.groupBy("_part").applyInPandas(_packer(size, number), PACKED), f"packed{number}")
 
 
-def pack(pieces: DataFrame, *, size: int = 2048, part: int = PART, rounds: int = 4, loose: int = 32) -> DataFrame:
-    """PACKED rows for rows of PIECES. Sequences with less than ``loose`` free places stay in their partition."""
-    columns = pieces.columns
+def pack(pieces: DataFrame, *, size: int = 2048, part: int = PART, rounds: int = 4, loose: int | None = None) -> DataFrame:
+    """PACKED rows for rows of PIECES. Sequences with less than ``loose`` free places (by default size / 64) stay in their
+    partition."""
+    columns, loose = pieces.columns, max(1, size // 64) if loose is None else loose
     done, pool, n = None, _pack_round(cut(pieces, "pieces"), size, 0, part), 0
     while True:
         open_ = (F.col("gap") > 0) & (F.col("room") >= loose)

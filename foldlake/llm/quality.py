@@ -128,6 +128,7 @@ def train(rows: list[tuple[list[int], list[float], int]], s: Settings) -> Model:
     model = Model(shapes.mean(0) if len(rows) else np.zeros(len(FORM)), np.where(scale > 1e-9, scale, 1.0), 0.0,
                   np.zeros(size), rng.normal(0, 0.01, (size, s.rank)), settings=s)
     if not rows:
+        model.factors[:] = 0
         return model
     data = [(*model.vector(np.asarray(at, "i8"), np.asarray(shape)), y) for at, shape, y in rows]
     order = rng.permutation(len(data))
@@ -182,7 +183,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", length_col:
     spark = docs.sparkSession
     text_batches(spark)
     length = F.col(length_col).cast("double") if length_col else F.lit(None).cast("double")
-    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("_t"), length.alias("_n"))
+    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("__text"), length.alias("__length"))
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -191,4 +192,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", length_col:
         for text, n in texts:
             yield pd.Series([m.score(*inputs(t, x, m.settings.buckets)) for t, x in zip(text, n, strict=True)], dtype="float64")
 
-    return rows.withColumn(out[0], scored("_t", "_n")).withColumn(out[1], (F.col(out[0]) >= accept).cast("int")).drop("_t", "_n")
+    return rows.withColumn(out[0], scored("__text", "__length")).withColumn(out[1], (F.col(out[0]) >= accept).cast("int")).drop("__text", "__length")

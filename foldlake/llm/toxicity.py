@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict[s
     """The columns ``keep`` of each row, score, predicted."""
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("_t"))
+    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("__text"))
     sent = spark.sparkContext.broadcast((model.classifier, model.settings))
 
     @F.pandas_udf("double")
@@ -306,4 +306,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict[s
             m = np.array([margin(tokens(t)) for t in batch], "f8")
             yield pd.Series(1 / (1 + np.exp(-np.clip(m, -30, 30))))
 
-    return rows.withColumn("score", scored("_t")).withColumn("predicted", (F.col("score") >= toxic_from).cast("int")).drop("_t")
+    return rows.withColumn("score", scored("__text")).withColumn("predicted", (F.col("score") >= toxic_from).cast("int")).drop("__text")
