@@ -35,6 +35,10 @@ from .decontaminate import MIX, Words
 #: Bytes of words: all but white space; A-Z become a-z.
 TABLE = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if chr(b) in UPPER else b for b in range(256))
 MAP_BITS = 256
+#: Tokens of the slice, as a multiple of the prefix.
+SLICE = 1.6
+#: Rows up to which the classes' representatives are broadcast.
+ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -78,10 +82,10 @@ def parity_map(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """Written table (doc_id, _t, n, cid, u, more, map): u are the tokens of the slice; more are others, where u are
-    fewer than the prefix."""
+    """Written table (doc_id, _t, n, cid, u, more, map, row): u are the tokens of the slice; more are others, where u are
+    fewer than the prefix; row numbers the rows."""
     text_batches(docs.sparkSession)
-    share = np.uint64(min(1.0, 2 * (1 - t.num / t.den)) * (2**64 - 2**12))
+    share = np.uint64(min(1.0, SLICE * (1 - t.num / t.den)) * (2**64 - 2**12))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -96,7 +100,7 @@ def _sets(docs: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) ->
                 out.append((len(s), class_of(s), u.view("i8"), rest[:lack].view("i8"), parity_map(s)))
             yield batch[["doc_id", "_t"]].assign(**{c: [x[i] for x in out] for i, c in enumerate(("n", "cid", "u", "more", "map"))})
 
-    return cut(rows.mapInPandas(sets, f"doc_id {id_type}, _t bigint, n bigint, cid binary, u array<bigint>, more array<bigint>, map array<bigint>"), "sets")
+    return cut(rows.mapInPandas(sets, f"doc_id {id_type}, _t bigint, n bigint, cid binary, u array<bigint>, more array<bigint>, map array<bigint>").withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def _signature(tokens: Column) -> list[Column]:
@@ -177,9 +181,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, sets: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
-    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t")
-    first = sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min(named).alias("first"), F.first(F.struct("n", "u", "more", "map")).alias("x"))
-    classes = cut(first.select("cid", "first", "x.*"), "classes")
+    first = cut(sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("row").alias("row")).select("row"), "first")
+    classes = sets.join(small(first, ROWS), "row", "left_semi")
     prefixes = _prefixes(classes, t)
     one = F.struct("cid", "n", "map", "s2", "s3")
     pivots = cut(prefixes.groupBy("h").agg(F.min(one).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "p"), "pivots")
@@ -188,7 +191,7 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, t: Threshold, id_col: str,
     star = cut(star.select(F.col("r.cid").alias("a"), F.col("p.cid").alias("b")).distinct(), "star")
 
     wanted = prefixes.select("cid").distinct()
-    chosen = cut(classes.join(wanted, "cid", "left_semi").select("first.doc_id", "first._t"), "chosen")
+    chosen = cut(classes.select("cid", "doc_id", "_t").join(wanted, "cid", "left_semi").select("doc_id", "_t"), "chosen")
     text_batches(docs.sparkSession)
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
