@@ -145,18 +145,25 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text"
     m = base.filter(F.size("_mentions") > 0).select("doc_id", "_t", F.explode("_mentions").alias("x"))
     m = m.select("doc_id", "_t", "x.entity", "x.ctx", F.explode("x.terms").alias("y")).select("doc_id", "_t", "entity", "ctx", "y.*")
     row = F.struct("doc_id", "_t")
-    near = m.groupBy("entity", "term").agg(F.countDistinct("ctx").alias("support"), F.countDistinct(row).alias("n_et"))
-    near = cut(near.filter(F.col("support") >= min_support), "pii_near")
+    n = base.count()
+
+    def disclosure(n_t: Column) -> Column:
+        pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * n_t))
+        ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+        return F.round(F.when(ic > 0, pmi / ic), 9)
+
+    near = m.groupBy("entity", "term").agg(F.countDistinct("ctx").alias("support"), F.countDistinct(row).alias("n_et")).filter(F.col("support") >= min_support)
     entities = m.groupBy("entity").agg(F.countDistinct(row).alias("n_e"))
+    # A term is in at least the documents that have it near some mention: pairs that fail with that count need no other.
+    least = m.groupBy("term").agg(F.countDistinct(row).alias("n_near"))
+    near = near.join(entities, "entity").join(least, "term").filter(disclosure(F.col("n_near")) >= generalise_at)
+    near = cut(near.select("entity", "term", "n_et", "n_e"), "pii_near")
     wanted = cut(near.select("term").distinct(), "pii_terms")
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # others need not be counted
         said = said.join(F.broadcast(wanted), "term", "left_semi")
     counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = base.count()
-    pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pairs = near.join(counts, "term").join(entities, "entity").withColumn("disclosure", F.round(F.when(ic > 0, pmi / ic), 9))
+    pairs = near.join(counts, "term").withColumn("disclosure", disclosure(F.col("n_t")))
     pairs = pairs.filter(F.col("disclosure") >= generalise_at).withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise"))
     return cut(pairs.select("entity", "term", "n_et", "n_e", "n_t", "disclosure", "action"), "pii_pairs"), m.drop("ctx")
 
@@ -192,8 +199,9 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
     pairs, mentions = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
     spans = small(term_spans(pairs, mentions).withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
-    d = with_base(docs, text_col)
-    d = d.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_u")), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])  # out of the way of our own names
+    d = with_base(docs.select(row.alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_raw")), "_raw")
+    d = d.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_raw") == F.col("_u")), "left")
     marked = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("remove")))
     every = F.array_sort(F.concat(marked, F.coalesce("_terms", F.array().cast("array<struct<start:int,kind:int,end:int,remove:boolean>>"))))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
@@ -207,4 +215,5 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(every, begin, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return d.withColumn("_every", every).withColumn(text_col, F.when(F.size("_every") > 0, clean).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in columns])
+    d = d.withColumn("_every", every).withColumn("_clean", F.when(F.size("_every") > 0, clean).otherwise(F.col("_raw")))
+    return d.select(*[F.col("_clean" if c == text_col else f"_row.`{c}`").alias(c) for c in columns])
