@@ -78,6 +78,11 @@ def trimer_context(spark, d):
     return s.select("segment_id", "pos", "aa", F.concat(before, after).alias("pair"), F.when(last, "").otherwise(at(F.col("pos") + 1)).alias("next_residue"))
 
 
+@query("next_residue", V.with_views("segments") + "select segment_id, i::int as pos, substr(fasta, i + 2, 1) as following from segments, unnest(range(length(fasta) - 1)) as t(i) where length(fasta) > 1")
+def next_residue(spark, d):
+    return trimer_context(spark, d).filter("next_residue <> ''").select("segment_id", "pos", F.col("next_residue").alias("following"))
+
+
 @query("seq_chunk", V.with_views("segments") + "select segment_id, substr(fasta, 3, 5) as chunk, substr(fasta, 8, 1) as following from segments")
 def seq_chunk(spark, d):
     return V.segments(spark, d).select("segment_id", F.substring("fasta", 3, 5).alias("chunk"), F.substring("fasta", 8, 1).alias("following"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -193,3 +197,56 @@ def sink_csss(spark, d):
 def sink_stats_csv(spark, d):
     counts = kmers.explode_kmers(V.segments(spark, d), "fasta", SQ.KS, []).groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("n"))
     return sinks.count_lines(counts)
+
+
+def tar_archives(spark, d):
+    """Tar archives, as (archive, content), of the segments: ten archives, a member for each segment."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for name, text in zip(part["name"], part["text"], strict=True):
+                info = tarfile.TarInfo(name)
+                info.size = len(text.encode())
+                t.addfile(info, io.BytesIO(text.encode()))
+        return pd.DataFrame({"archive": [part["archive"].iloc[0]], "content": [out.getvalue()]})
+
+    s = V.segments(spark, d).select((F.col("segment_id") % 10).cast("string").alias("archive"), F.concat(F.col("segment_id").cast("string"), F.lit(".fasta")).alias("name"), F.concat_ws("\n", F.lit(">x"), "fasta").alias("text"))
+    return s.groupBy("archive").applyInPandas(pack, "archive string, content binary")
+
+
+@query("scan_tar", V.with_views("segments") + "select segment_id::varchar as source, fasta as sequence from segments")
+def scan_tar(spark, d):
+    return reports.scan_fasta(L.split_tar_lines(L.untar(tar_archives(spark, d), ".fasta"))).select("source", "sequence")
+
+
+def segment_folder(spark, d):
+    """A folder with a text for each segment."""
+    s = V.segments(spark, d).select("segment_id", F.posexplode(F.array("fasta", F.replace("dssp", F.lit(" "), F.lit("-")))).alias("line_no", "line"))
+    path = sinks.new_folder(spark, "segments")
+    sinks.write_segments(s, path)
+    return path
+
+
+@query("sink_segments", V.with_views("segments") + "select segment_id, fasta as line from segments union all select segment_id, replace(dssp, ' ', '-') from segments")
+def sink_segments(spark, d):
+    return spark.read.schema("line string, segment_id bigint").text(segment_folder(spark, d))
+
+
+@query("scan_existing_ids", V.with_views("segments") + "select segment_id::varchar as id from segments")
+def scan_existing_ids(spark, d):
+    return L.existing_ids(spark, segment_folder(spark, d), "*.txt", "segment_id=([^/]+)/")
+
+
+@query("scan_corpus", V.with_views("segments") + "select segment_id::varchar as id, 1::bigint as files from segments")
+def scan_corpus(spark, d):
+    found, _ = L.resolve(spark, [segment_folder(spark, d)], [], "*.txt")
+    return found.groupBy(F.regexp_extract("path", "segment_id=([^/]+)/", 1).alias("id")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("scan_forcefield", "select p_brand as residue, 'A' || p_partkey::varchar as atom, p_type as type, round(p_retailprice, 2) as charge from part")
+def scan_forcefield(spark, d):
+    atom = F.format_string('<Atom name="A%d" type="%s" charge="%.2f"/>', "p_partkey", "p_type", "p_retailprice")
+    parts = V.table(spark, d, "part").withColumn("g", F.col("p_partkey") % 100)  # an element of bounded size
+    texts = parts.groupBy("p_brand", "g").agg(F.concat(F.lit('<Residue name="'), F.first("p_brand"), F.lit('">'), F.array_join(F.collect_list(atom), ""), F.lit("</Residue>")).alias("xml"))
+    return structures.parse_residues(texts)

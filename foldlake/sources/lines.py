@@ -35,15 +35,21 @@ def resolve(spark: SparkSession, paths: list[str], lists: list[str], glob: str)
     return found, named.join(found.select(name.alias("entry")).distinct(), "entry", "left_anti").withColumnRenamed("entry", "path")
 
 
-def existing_ids(spark: SparkSession, path: str, glob: str = "*.pdb") -> DataFrame:
-    """Ids of the files under ``path``, by their names alone; none if there are no files."""
+def existing_ids(spark: SparkSession, path: str, glob: str = "*.pdb", pattern: str = r"([^/]+?)(\.[A-Za-z0-9]+)?$") -> DataFrame:
+    """Ids of the files under ``path``, by the first group of ``pattern`` in their paths; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(stem(F.col("path")).alias("id")).distinct()
+    return files.select(F.regexp_extract("path", pattern, 1).alias("id")).distinct()
 
 
 def read_tar(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """archive, name, content of the members of tar files whose names end in ``suffix``. A file that is no archive gives one
-    row without name."""
+    """untar() of the tar files under ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select(stem(F.col("path")).alias("archive"), "content")
+    return untar(files, suffix)
+
+
+def untar(files: DataFrame, suffix: str = "") -> DataFrame:
+    """archive, name, content of the members of archives (archive, content) whose names end in ``suffix``. What is no
+    archive gives one row without name."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,8 +62,7 @@ def read_tar(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
                 except tarfile.TarError:
                     yield pd.DataFrame({"archive": [archive], "name": [None], "content": [None]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select(stem(F.col("path")).alias("archive"), "content")
-    return files.mapInPandas(members, "archive string, name string, content binary")
+    return files.select("archive", "content").mapInPandas(members, "archive string, name string, content binary")
 
 
 def split_tar_lines(members: DataFrame) -> DataFrame:

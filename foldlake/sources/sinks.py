@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the cluster's shared folder; in a temporary one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-foldlake-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_segments(segments: DataFrame, path: str, key: str = "segment_id") -> None:
     """One folder of text for each key. Rows of one key stay in their order (column line_no)."""
     segments.repartition(F.col(key)).sortWithinPartitions(key, "line_no").select(key, "line").write.partitionBy(key).text(path)

@@ -83,9 +83,18 @@ def scan_cif(lines: DataFrame, prefer_auth: bool = True) -> tuple[DataFrame, Dat
     return rows.select(F.col("source").alias("structure_id"), F.col("line_no").alias("row_idx"), *[column(c).alias(c) for c in CIF_COLUMNS]), quarantine
 
 
+ATOM_TYPES = "_name string, Atom array<struct<_name:string,_type:string,_charge:double>>"
+
+
+def parse_residues(texts: DataFrame, column: str = "xml") -> DataFrame:
+    """(residue, atom, type, charge) from the texts of residue elements; what does not parse gives no row."""
+    r = texts.select(F.from_xml(column, ATOM_TYPES, {"mode": "PERMISSIVE"}).alias("r"))
+    return r.select(F.col("r._name").alias("residue"), F.explode("r.Atom").alias("a")).select("residue", F.col("a._name").alias("atom"), F.col("a._type").alias("type"), F.col("a._charge").alias("charge"))
+
+
 def scan_forcefield(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """(residue, atom, type, charge) and (type, sigma, epsilon) of an XML force field."""
-    atoms = spark.read.format("xml").option("rowTag", "Residue").schema("_name string, Atom array<struct<_name:string,_type:string,_charge:double>>").load(path)
+    atoms = spark.read.format("xml").option("rowTag", "Residue").schema(ATOM_TYPES).load(path)
     atoms = atoms.select(F.col("_name").alias("residue"), F.explode("Atom").alias("a")).select("residue", F.col("a._name").alias("atom"), F.col("a._type").alias("type"), F.col("a._charge").alias("charge"))
     bonded = spark.read.format("xml").option("rowTag", "NonbondedForce").schema("Atom array<struct<_type:string,_sigma:double,_epsilon:double>>").load(path)
     bonded = bonded.select(F.explode("Atom").alias("a")).select(F.col("a._type").alias("type"), F.col("a._sigma").alias("sigma"), F.col("a._epsilon").alias("epsilon"))
