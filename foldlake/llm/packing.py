@@ -30,6 +30,8 @@ PART = 20_000
 REMEMBERED = 500_000
 #: Letters under this one have one form only, in either case.
 LATIN_END = "\u0250"
+#: Marks that are one part together; the apostrophe may begin an ending of its own.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 _loaded: dict[str, tuple] = {}
 
@@ -59,13 +61,11 @@ class WordEncoder:
 
     @staticmethod
     def split(word: str) -> tuple[str, ...]:
-        """Parts whose ids, joined, are the word's: lower-cased letters and the mark behind them, else the word."""
+        """Parts whose ids, joined, are the word's: lower-cased letters and the marks behind them, else the word."""
         low = word.lower()
-        if low.isalpha():
-            return (low,) if low.isascii() or max(low) < LATIN_END else (word,)
-        head, mark = low[:-1], low[-1:]
-        if head.isalpha() and mark in ".,;:!?" and (head.isascii() or max(head) < LATIN_END):
-            return head, mark
+        head = low.rstrip(MARKS)
+        if head.isalpha() and (head.isascii() or max(head) < LATIN_END):
+            return (head,) if len(head) == len(low) else (head, low[len(head) :])
         return (word,)
 
     def _ids(self, part: str) -> bytes:
