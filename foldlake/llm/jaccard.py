@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, small, text_batches
+from .common import UPPER, cut, small, text_batches
 from .decontaminate import MIX, Words
 
 #: Bytes of words: all but white space; A-Z become a-z.
