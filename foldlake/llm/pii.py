@@ -8,11 +8,13 @@ entity. A term (a word of four letters or more, lower-cased) near an entity's me
 for N documents, of which n_e hold the entity, n_t the term and n_et the term near the entity: 1 when the term only
 occurs with the entity. Terms at ``generalise_at`` or more are generalised, at ``remove_at`` or more removed, if at
 least ``min_support`` different contexts show the pair (copies of one passage count once). n_t is counted over the
-whole corpus. DataFrame functions only.
+whole corpus. Nearness is evidence only: a disclosing term is found wherever it stands, far from a mention and in
+documents without the entity too; it is removed if any of its entities says so. DataFrame functions only.
 
 Defined results: null text is empty and has no spans. Positions are code points, ends exclusive. Repeated rows get the
 same result each. Null ids stay null. A corpus in which every document holds an entity discloses nothing about it.
-Texts of any length are read whole; a context is the ``window`` characters on either side of a mention.
+Texts of any length are read whole; a context is the ``window`` characters on either side of a mention. Words are
+lower-cased one by one, so that places are those of the text as it is.
 """
 
 from __future__ import annotations
@@ -35,9 +37,14 @@ PATTERNS = {
 }
 TERM = r"\p{L}{4,}"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_TERMS = "array<struct<start:int,kind:int,end:int,remove:boolean>>"
 _MATCH = "array<struct<start:int,end:int,m:string>>"
 
 
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places, from the matches and the gaps between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -109,9 +116,9 @@ def _mentions(window: int) -> Column:
     length = F.char_length(text)
 
     def terms(begin: Column, size: Column, open_left: Column, open_right: Column) -> Column:
-        found = matches(F.lower(F.substring(text, begin + 1, size)), TERM)
+        found = matches(F.substring(text, begin + 1, size), TERM)
         whole = F.filter(found, lambda t: ~((open_left & (t["start"] == 0)) | (open_right & (t["end"] >= size))))
-        placed = F.transform(whole, lambda t: F.struct(t["m"].alias("term"), (begin + t["start"]).alias("start"), (begin + t["end"]).alias("end")))
+        placed = F.transform(whole, lambda t: F.struct(F.lower(t["m"]).alias("term"), (begin + t["start"]).alias("start"), (begin + t["end"]).alias("end")))
         return F.filter(placed, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
     def mention(kind: str):
@@ -139,9 +146,8 @@ def base_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text", min_support: int = 2,
-                     generalise_at: float = 0.8, remove_at: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(pairs, mentions): pairs is a written table (entity, term, n_et, n_e, n_t, disclosure, action) of the pairs over
-    the threshold; mentions has (doc_id, _t, entity, term, start, end) for every term near a mention."""
+                     generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+    """Written table (entity, term, n_et, n_e, n_t, disclosure, action) of the pairs over the threshold."""
     m = base.filter(F.size("_mentions") > 0).select("doc_id", "_t", F.explode("_mentions").alias("x"))
     m = m.select("doc_id", "_t", "x.entity", "x.ctx", F.explode("x.terms").alias("y")).select("doc_id", "_t", "entity", "ctx", "y.*")
     row = F.struct("doc_id", "_t")
@@ -159,20 +165,40 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text"
     near = near.join(entities, "entity").join(least, "term").filter(disclosure(F.col("n_near")) >= generalise_at)
     near = cut(near.select("entity", "term", "n_et", "n_e"), "pii_near")
     wanted = cut(near.select("term").distinct(), "pii_terms")
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
+    said = docs.select(F.explode(F.array_distinct(_words(F.col(text_col)))).alias("term"))
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # others need not be counted
         said = said.join(F.broadcast(wanted), "term", "left_semi")
     counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     pairs = near.join(counts, "term").withColumn("disclosure", disclosure(F.col("n_t")))
     pairs = pairs.filter(F.col("disclosure") >= generalise_at).withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise"))
-    return cut(pairs.select("entity", "term", "n_et", "n_e", "n_t", "disclosure", "action"), "pii_pairs"), m.drop("ctx")
+    return cut(pairs.select("entity", "term", "n_et", "n_e", "n_t", "disclosure", "action"), "pii_pairs")
+
+
+def term_spans(docs: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _t, _terms: array of (start, kind, end, remove)) for the documents in which a term of ``pairs`` stands
+    anywhere outside the patterns' spans; a written table."""
+    terms = cut(pairs.groupBy("term").agg(F.max(F.col("action") == "remove").alias("remove")), "pii_removed")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_t"), F.col(text_col).alias("text"))
+    said = d.select("doc_id", "_t", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(small(terms), "term")
+    held = cut(said.groupBy("doc_id", "_t").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("_held")), "pii_held")
+    held = small(held.withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
+    d = with_base(d.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u"))), "text")
+    text = F.col("_text")
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.slice(F.split(text, TERM, -1), 1, F.size(found))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
 
+    def add(acc, p):
+        start = acc["at"] + F.char_length(p["gap"])
+        end = start + F.char_length(p["m"])
+        remove = F.element_at(F.col("_held"), F.lower(p["m"]))
+        span = F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"), remove.alias("remove"))
+        return F.struct(end.alias("at"), F.when(remove.isNotNull(), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-def term_spans(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(doc_id, _t, _terms: array of (start, kind, end, remove)) for the documents that have any; a written table."""
-    hit = mentions.join(small(pairs.select("entity", "term", "action")), ["entity", "term"])
-    span = F.struct("start", F.lit(4).alias("kind"), "end", (F.col("action") == "remove").alias("remove"))
-    return cut(hit.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set(span)).alias("_terms")), "pii_spans")
+    every = F.aggregate(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), begin, add, lambda acc: acc["out"])
+    free = F.filter(every, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = d.select("doc_id", "_t", free.alias("_terms")).filter(F.size("_terms") > 0)
+    return cut(spans.dropDuplicates(["doc_id", "_t"]), "pii_spans")
 
 
 def joined(spans: Column) -> Column:
@@ -185,10 +211,10 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base (array of spans), terms (array of spans)."""
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
-    pairs, mentions = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
-    spans = term_spans(pairs, mentions).withColumnsRenamed({"doc_id": "_id", "_t": "_u"})
+    pairs = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
+    spans = term_spans(docs, pairs, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"})
     out = base.join(small(spans), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
-    terms = F.transform(F.coalesce("_terms", F.array().cast("array<struct<start:int,kind:int,end:int,remove:boolean>>")), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    terms = F.transform(F.coalesce("_terms", F.array().cast(_TERMS)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], F.col("_base").alias("base"), terms.cast(_SPAN).alias("terms"))
 
 
@@ -197,13 +223,13 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``<email>`` and the like in place of what is found; all else as it was. Overlapping spans become one."""
     columns = docs.columns
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
-    pairs, mentions = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
-    spans = small(term_spans(pairs, mentions).withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
+    pairs = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
+    spans = small(term_spans(docs, pairs, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])  # out of the way of our own names
     d = with_base(docs.select(row.alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_raw")), "_raw")
     d = d.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_raw") == F.col("_u")), "left")
     marked = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("remove")))
-    every = F.array_sort(F.concat(marked, F.coalesce("_terms", F.array().cast("array<struct<start:int,kind:int,end:int,remove:boolean>>"))))
+    every = F.array_sort(F.concat(marked, F.coalesce("_terms", F.array().cast(_TERMS))))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     text = F.col("_text")
 

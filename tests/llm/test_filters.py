@@ -58,6 +58,18 @@ def test_disclosing_terms_are_removed(spark):
     assert all(clean[100 + i] == f"plain text number{i} wrote about things" for i in range(60))
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    far = "so it went on " * 40
+    rows = [(i, f"filler{i} words unlike others{i} wrote Zanzibarix to boss@corp.org about matter{i}") for i in range(6)] + [(100 + i, f"plain text number{i} wrote about things") for i in range(200)]
+    rows += [(50, f"İ asked boss@corp.org then {far} İ met Zanzibarix, ZANZIBARIX and Zanzibarixes"), (51, "nobody else wrote like zanzibarix"), (51, "nobody else wrote like zanzibarix"), (None, "Zanzibarix")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = sorted((r.doc_id or 0, r.text) for r in pii.sanitise(docs).filter("doc_id is null or doc_id in (50, 51)").collect())
+    assert clean == [(0, "<term>"), (50, f"İ asked <email> then {far} İ met <term>, <term> and Zanzibarixes"), (51, "nobody else wrote like <term>"), (51, "nobody else wrote like <term>")]
+    found = {r.doc_id: r.terms for r in pii.find_pii(docs).collect()}
+    text = rows[-4][1]
+    assert [text[s["start"] : s["end"]] for s in found[50]] == ["Zanzibarix", "ZANZIBARIX"] and len(found[51]) == len(found[None]) == 1 and found[100] == []
+
+
 def test_sanitise_keeps_columns(spark):
     d = spark.createDataFrame([(1, "x a@b.cd y", "keep", 7)], "doc_id long, text string, _base string, entity int")
     assert pii.sanitise(d).collect() == [(1, "x <email> y", "keep", 7)]
