@@ -11,7 +11,9 @@ tokens. What passes all filters is verified on the full sets.
 
 A large group of alike documents is not expanded into pairs: each class is first compared with one pivot of each of its
 prefix tokens, and classes that the same pivot links need no comparison with each other. The remaining pairs are those
-of different groups. Components of the links are found by large-star and small-star rounds.
+of different groups. Components of the links are found by large-star and small-star rounds. Where links are to be counted,
+all pairs of classes of a component are verified: its classes are dealt into blocks, and a task counts the links of two
+blocks, whose pairs are never rows. Links of different components cannot be.
 
 Defined results: a null or empty text, or one of white space, has no n-grams, is in no class and linked with nothing. A
 text with fewer words than n has one n-gram, all its words. Repeated rows are in one class. A null id is a member like
@@ -39,6 +41,8 @@ MAP_BITS = 256
 SLICE = 1.6
 #: Rows up to which the classes' representatives are broadcast.
 ROWS = 1_000_000
+#: Classes and tokens of a block in which links are counted, in expectation; tokens multiplied at once.
+BLOCK, TOKENS, COLUMNS = 1024, 1 << 20, 4096
 
 
 @dataclass(frozen=True)
@@ -180,7 +184,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _links(docs: DataFrame, sets: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(links, whole): pairs (a, b) that connect all components, and (cid, s) of every class that may be linked."""
     first = cut(sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("row").alias("row")).select("row"), "first")
     classes = sets.join(small(first, ROWS), "row", "left_semi")
     prefixes = _prefixes(classes, t)
@@ -214,19 +219,72 @@ def _links(docs: DataFrame, sets: DataFrame, n: int, t: Threshold, id_col: str,
     rest = a.join(b, "h").filter((F.col("x.g") != F.col("y.g")) & (F.col("main") | (F.col("x.cid") < F.col("y.cid"))) & _passes(t, "x", "y"))
     rest = rest.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct()
     rest = cut(rest.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(_verified(rest, whole, t))
-
-
-def similar_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, _t (hash of the text), n_shingles, component_id (the least id reachable by links)."""
+    return links.unionByName(_verified(rest, whole, t)), whole
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Tokens in common of each set of x with each of y."""
+    size = [sum(map(len, z)) for z in (x, y)]
+    _, token = np.unique(np.concatenate(x + y), return_inverse=True)
+    out = np.zeros((len(x), len(y)), "i8")
+    owner = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    token = [token[: size[0]], token[size[0] :]]
+    both = np.intersect1d(*token)
+    for k in range(0, len(both), COLUMNS):
+        some, dense = both[k : k + COLUMNS], []
+        for z in (0, 1):
+            at = np.searchsorted(some, token[z]).clip(max=len(some) - 1)
+            here = some[at] == token[z]
+            m = np.zeros((len(out) if z == 0 else len(out[0]), len(some)), "f4")
+            m[owner[z][here], at[here]] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype("i8")
+    return out
+
+
+def _degrees(rooted: DataFrame, whole: DataFrame, t: Threshold) -> DataFrame:
+    """Written table (cid, d): documents of other classes linked with the class. ``rooted``: (cid, root, w, n), a row for
+    each class of w documents and n tokens."""
+    groups = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("of"), F.sum("n").alias("k")).filter("m > 1"), "link_groups")
+    member = rooted.join(small(groups), "root")
+    two = member.filter("m = 2").select("cid", (F.col("of") - F.col("w")).alias("d"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("k") / TOKENS)).cast("int")
+    many = member.filter("m > 2").select("cid", "root", "w", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block")).join(whole, "cid")
+    many = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cid", "w", "s")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        x, y = rows[rows["block"] == i], rows[rows["block"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"cid": [], "d": []})
+        a, b = np.array([len(s) for s in x["s"]])[:, None], np.array([len(s) for s in y["s"]])[None, :]
+        inter = _common(list(x["s"]), list(y["s"]))
+        linked = inter * t.den >= (a + b - inter) * t.num
+        if i == j:
+            np.fill_diagonal(linked, False)
+        out = pd.DataFrame({"cid": x["cid"], "d": linked @ y["w"].to_numpy()})
+        return out if i == j else pd.concat([out, pd.DataFrame({"cid": y["cid"], "d": linked.T @ x["w"].to_numpy()})])
+
+    counted = many.groupBy("root", "i", "j").applyInPandas(count, "cid binary, d bigint")
+    return cut(two.unionByName(counted).groupBy("cid").agg(F.sum("d").alias("d")), "degrees")
+
+
+def similar_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """A row for each document: doc_id, _t (hash of the text), n_shingles, component_id (the least id reachable by links);
+    with ``count_links`` also n_links, the number of other documents linked with it, copies included."""
     t = Threshold(num, den)
     sets = _sets(docs, n, t, id_col, text_col)
-    links = _links(docs, sets, n, t, id_col, text_col)
+    links, whole = _links(docs, sets, n, t, id_col, text_col)
     roots = components(links)
-    classes = sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("w"), F.max("n").alias("n"))
     rooted = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = cut(rooted, "rooted")
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    names = cut(rooted.join(named, "root").select("cid", "component_id"), "names")
+    names = rooted.join(named, "root").select("cid", "component_id", "w")
+    if count_links:
+        names = names.join(_degrees(rooted, whole, t), "cid", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("d", F.lit(0)))
+    names = cut(names.drop("w", "d"), "names")
     out = sets.select("doc_id", "_t", "n", "cid").join(names, "cid", "left")
-    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
+    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)

@@ -61,6 +61,19 @@ def test_jaccard_is_brute_force(spark, n, num):
     assert got == {i: e for i, e in enumerate(_groups(texts, n, num))}
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16 * block)
+    texts = _texts() + _texts()[:9]
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.n_links for r in jaccard.similar_groups(df, n=3, num=60, den=100, count_links=True).collect()}
+    sets = [set(jaccard.shingles(t, 3).tolist()) for t in texts]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 60 * len(a | b)
+    assert got == {i: sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    assert max(got.values()) > 4
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f"), (None, "a b c d e f"), (None, "only this text here now"), (7, None), (None, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
