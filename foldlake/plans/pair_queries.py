@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -90,6 +91,14 @@ def separations(spark):
     return rows.groupBy("name_a", "name_b", "step").agg(F.min("sep").alias("sep"))
 
 
+def structure_separations(atoms):
+    """(structure_id, name_a, name_b, step, sep) of all atoms up to three bonds apart, along the backbone of each structure."""
+    node = F.struct("serial", "res_seq", "name")
+    bonds = atoms.select("structure_id", node.alias("a"), F.lead(node).over(Window.partitionBy("structure_id").orderBy("serial")).alias("b")).filter("b is not null")
+    g = pairs.bond_separation(bonds, keys=["structure_id"])
+    return g.select("structure_id", F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"), (F.col("b.res_seq") - F.col("a.res_seq")).alias("step"), "sep")
+
+
 _GRAPH = """gb as (select * from (values """ + ", ".join(f"('{a}', '{b}', {s})" for a, b, s in CHAIN_BONDS) + """) as t(a, b, s)),
 no as (select r, n, row_number() over (order by r, o) as k from (select unnest([0, 1, 2]) as r), (values ('N', 0), ('CA', 1), ('C', 2)) as t(n, o)),
 se as (select distinct x.n as name_a, y.n as name_b, y.r - x.r as step, abs(y.k - x.k) as sep from no x, no y where x.k <> y.k and abs(y.k - x.k) <= 3 and y.r - x.r between 0 and 1)"""
@@ -98,7 +107,8 @@ se as (select distinct x.n as name_a, y.n as name_b, y.r - x.r as step, abs(y.k
 @query("expand_bonds", f"with {_GRAPH} select name_a, name_b, step::int as step, min(sep)::int as sep, (select count(*) from labels) as n_labels from se group by all")
 def expand_bonds(spark, d):
     n = V.table(spark, d, "labels").count()
-    return separations(spark).select("name_a", "name_b", "step", "sep", F.lit(n).cast("long").alias("n_labels"))
+    g = structure_separations(V.atoms(spark, d)).filter("step between 0 and 1")
+    return g.groupBy("name_a", "name_b", "step").agg(F.min("sep").alias("sep")).withColumn("n_labels", F.lit(n).cast("long"))
 
 
 _STATE = f"{_RAD}, {_PAIR}, {_GRAPH}, st as (select pa.*, case when sep <= 2 then 'excluded' when sep = 3 then 'scaled' else 'free' end as state from pa left join (select name_a, name_b, step, min(sep) as sep from se group by all) on name_a = na and name_b = nb and step = rb_ - ra_)"

@@ -113,6 +113,17 @@ def test_torsions_reject_long_bonds(spark):
     assert backbone.torsions(a.filter("not (res_seq = 2 and name = 'C')"), 9.0).count() == 0
 
 
+def test_bonds_of_all_structures_are_expanded(spark):
+    from foldlake.plans import pair_queries as P
+    from foldlake.plans import views as V
+
+    atoms = V.atoms(spark, "/root/testdata/sf0.001")
+    got = {r.structure_id: r["count"] for r in P.structure_separations(atoms).groupBy("structure_id").count().collect()}
+    assert got == {r.structure_id: 2 * (20 + 19 + 18) for r in atoms.select("structure_id").distinct().collect()} and len(got) > 1
+    read = P.expand_bonds(spark, "/root/testdata/sf0.001")._jdf.inputFiles()
+    assert any("embeddings" in f for f in read)
+
+
 def test_bond_separation(spark):
     got = {(r.a, r.b): r.sep for r in pairs.bond_separation(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a int, b int")).collect()}
     assert got == {(i, j): abs(i - j) for i in range(1, 6) for j in range(1, 6) if 0 < abs(i - j) <= 3}
