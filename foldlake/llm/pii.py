@@ -148,8 +148,8 @@ def base_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text", min_support: int = 2,
                      generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """Written table (entity, term, n_et, n_e, n_t, disclosure, action) of the pairs over the threshold."""
-    m = base.filter(F.size("_mentions") > 0).select("doc_id", "_t", F.explode("_mentions").alias("x"))
-    m = m.select("doc_id", "_t", "x.entity", "x.ctx", F.explode("x.terms").alias("y")).select("doc_id", "_t", "entity", "ctx", "y.*")
+    x = base.filter(F.size("_mentions") > 0).select("doc_id", "_t", F.explode("_mentions").alias("x"))
+    m = x.select("doc_id", "_t", "x.entity", "x.ctx", F.explode("x.terms").alias("y")).select("doc_id", "_t", "entity", "ctx", "y.*")
     row = F.struct("doc_id", "_t")
     n = base.count()
 
@@ -159,7 +159,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text"
         return F.round(F.when(ic > 0, pmi / ic), 9)
 
     near = m.groupBy("entity", "term").agg(F.countDistinct("ctx").alias("support"), F.countDistinct(row).alias("n_et")).filter(F.col("support") >= min_support)
-    entities = m.groupBy("entity").agg(F.countDistinct(row).alias("n_e"))
+    entities = x.groupBy(F.col("x.entity").alias("entity")).agg(F.countDistinct(row).alias("n_e"))
     # A term is in at least the documents that have it near some mention: pairs that fail with that count need no other.
     least = m.groupBy("term").agg(F.countDistinct(row).alias("n_near"))
     near = near.join(entities, "entity").join(least, "term").filter(disclosure(F.col("n_near")) >= generalise_at)

@@ -70,6 +70,13 @@ def test_disclosing_terms_go_everywhere(spark):
     assert [text[s["start"] : s["end"]] for s in found[50]] == ["Zanzibarix", "ZANZIBARIX"] and len(found[51]) == len(found[None]) == 1 and found[100] == []
 
 
+def test_bare_mentions_count(spark):
+    rows = [(i, f"by{i} Zanzibarix to boss@corp.org at {i}") for i in range(6)] + [(50 + i, f"{i} boss@corp.org") for i in range(20)] + [(100 + i, "none") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = pii.disclosing_terms(docs, pii.base_table(docs)).collect()
+    assert [(p.term, p.n_et, p.n_e, p.n_t) for p in pairs] == [("zanzibarix", 6, 26, 6)]
+
+
 def test_sanitise_keeps_columns(spark):
     d = spark.createDataFrame([(1, "x a@b.cd y", "keep", 7)], "doc_id long, text string, _base string, entity int")
     assert pii.sanitise(d).collect() == [(1, "x <email> y", "keep", 7)]
