@@ -1,17 +1,22 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, with multiple-global-order filtering.
 
-Documents with equal n-gram sets form a class; the join works on classes. Two classes whose similarity reaches the
-threshold share a token among the first ``p = n - ceil(threshold * n) + 1`` of each, under any order of all tokens. Here
-several orders are used. All put a fixed slice of the token space first (those tokens whose hash is below a share that
-mostly holds more than p), so that frequencies are counted for that slice only; within it come the tokens of one class
-alone, which match nothing, and then the others: by frequency in the first order, by hashes of their own in the others.
-Candidates share a prefix token under the first order, and their prefix signatures meet under each of the others; sizes
-must allow the threshold, and so must the parity bit maps of the sets, which differ in no more bits than the sets in
-tokens. What passes all filters is verified on the full sets.
-
-A large group of alike documents is not expanded into pairs: each class is first compared with one pivot of each of its
-prefix tokens, and classes that the same pivot links need no comparison with each other. The remaining pairs are those
-of different groups. Components of the links are found by large-star and small-star rounds. Where links are to be counted,
+Documents with equal n-gram sets form a class; the join works on classes, each named by the row of one of its members.
+Two classes whose similarity reaches the threshold share a token among the first ``p = n - ceil(threshold * n) + 1`` of
+each, under any order of all tokens. Three orders are used, each rare-first over all tokens of the corpus: under order k
+tokens stand by the count of their cell in table k, then by hash. The tables have ``CELLS`` cells each, whatever the
+input, so they may be broadcast; they count every token of every document, in cells that differ from table to table.
+Tokens that share a cell only blur an order, which stays one and the same for all classes.
+
+A token that is alone in its cell is in one document only and needs no look-up. Candidates share a prefix token under the
+first order, where their places and sizes must still allow the threshold; their prefixes must meet under the second and
+the third order too, and the parity bit maps of the sets must not differ in more bits than sets so alike do in tokens.
+What passes all filters is verified on the full sets.
+
+A large group of alike documents is not expanded into pairs. In each bucket (the classes with one prefix token) all are
+compared with one pivot first, and the links give components. While that links groups anew, buckets that still hold
+several components take another pivot from outside their largest one. Then the classes outside the largest component of
+a bucket are compared with all classes of other components, in blocks of bounded size. Pairs of one component need no
+comparison: they cannot change it. Components come by large-star and small-star rounds. Where links are to be counted,
 all pairs of classes of a component are verified: its classes are dealt into blocks, and a task counts the links of two
 blocks, whose pairs are never rows. Links of different components cannot be.
 
@@ -37,10 +42,14 @@ from .decontaminate import MIX, Words
 #: Bytes of words: all but white space; A-Z become a-z.
 TABLE = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if chr(b) in UPPER else b for b in range(256))
 MAP_BITS = 256
-#: Tokens of the slice, as a multiple of the prefix.
-SLICE = 1.6
-#: Rows up to which the classes' representatives are broadcast.
+#: Tables of counts, one for each order; cells of a table; parts that a table is summed in.
+ORDERS, CELL_BITS, PARTS = 3, 22, 64
+#: Tokens that a task counts at once.
+COUNTED = 1 << 20
+#: Rows up to which the classes' representatives, and a table of (token, pivot), are broadcast.
 ROWS = 1_000_000
+#: Classes of a bucket that one block of comparisons takes.
+BUCKET = 512
 #: Classes and tokens of a block in which links are counted, in expectation; tokens multiplied at once.
 BLOCK, TOKENS, COLUMNS = 1024, 1 << 20, 4096
 
@@ -58,9 +67,16 @@ class Threshold:
     def linked(self, inter: Column, a: Column, b: Column) -> Column:
         return inter * self.den >= (a + b - inter) * self.num
 
-    def may(self, a: Column, b: Column, differ: Column) -> Column:
+    def sizes(self, a: Column, b: Column) -> Column:
+        return (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
+
+    def differ(self, a: Column, b: Column, differ: Column) -> Column:
         """Whether sets of a and b tokens that differ in ``differ`` at least can reach it."""
-        return (a * self.den >= b * self.num) & (b * self.den >= a * self.num) & (differ * (self.den + self.num) <= (a + b) * (self.den - self.num))
+        return differ * (self.den + self.num) <= (a + b) * (self.den - self.num)
+
+    def places(self, a: Column, i: Column, b: Column, j: Column) -> Column:
+        """Whether sets whose first common token is at places i and j (from 0) can reach it."""
+        return F.least(a - i, b - j) * (self.den + self.num) >= (a + b) * self.num
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -85,87 +101,143 @@ def parity_map(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
 
 
-def _sets(docs: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """Written table (doc_id, _t, n, cid, u, more, map, row): u are the tokens of the slice; more are others, where u are
-    fewer than the prefix; row numbers the rows."""
-    text_batches(docs.sparkSession)
-    share = np.uint64(min(1.0, SLICE * (1 - t.num / t.den)) * (2**64 - 2**12))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                s = shingles(text, n)
-                u, rest, lack = s[s < share], s[s >= share], 0
-                if len(s):
-                    lack = max(0, t.prefix(len(s)) - len(u))
-                out.append((len(s), class_of(s), u.view("i8"), rest[:lack].view("i8"), parity_map(s)))
-            yield batch[["doc_id", "_t"]].assign(**{c: [x[i] for x in out] for i, c in enumerate(("n", "cid", "u", "more", "map"))})
+def _cells(tokens: np.ndarray, order: int) -> np.ndarray:
+    return ((tokens >> np.uint64(21 * order)) & np.uint64((1 << CELL_BITS) - 1)).astype("i8")
 
-    return cut(rows.mapInPandas(sets, f"doc_id {id_type}, _t bigint, n bigint, cid binary, u array<bigint>, more array<bigint>, map array<bigint>").withColumn("row", F.monotonically_increasing_id()), "sets")
 
+def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
+    """ORDERS tables of 1 << CELL_BITS cells, two bytes each: 1024 * log2(1 + documents' tokens in the cell), rounded."""
+    width = (1 << CELL_BITS) // PARTS
 
-def _signature(tokens: Column) -> list[Column]:
-    """128 bits: those of the tokens' hashes."""
-    def half(i: int) -> Column:
-        bits = F.transform(F.filter(tokens, lambda h: F.pmod(h, F.lit(2)) == i), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return [half(0), half(1)]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, held, size = np.zeros((ORDERS, 1 << CELL_BITS), "u4"), [], 0
 
+        def add() -> None:
+            for k in range(ORDERS):
+                cells, times = np.unique(_cells(np.concatenate(held), k), return_counts=True)
+                table[k, cells] += times.astype("u4")
 
-def _prefixes(classes: DataFrame, t: Threshold) -> DataFrame:
-    """Written table (h, cid, n, map, s2, s3): a row for each token in a class's prefix under the first order that other
-    classes have too; s2 and s3 are the signatures of its prefixes under the other orders."""
-    tokens = classes.select("cid", F.explode(F.concat(F.transform("u", lambda h: F.struct(F.lit(False).alias("late"), h.alias("h"))), F.transform("more", lambda h: F.struct(F.lit(True).alias("late"), h.alias("h"))))).alias("x")).select("cid", "x.late", "x.h")
-    often = cut(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1), "often")
-    shared = tokens.join(often, "h").groupBy("cid").agg(F.collect_list(F.struct("late", "df", "h")).alias("x"))
-    c = classes.select("cid", "n", F.size("u").alias("nu"), "map").join(shared, "cid")
-    p = (F.col("n") - F.ceil(F.col("n") * t.num / F.lit(t.den)) + 1).cast("int")
-    full = F.col("nu") >= p
-    alone = F.col("nu") - F.size(F.filter("x", lambda x: ~x["late"]))
-    keep = F.when(full, F.greatest(p - alone, F.lit(0))).otherwise(F.size("x"))
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(shingles(text, n))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    add()
+                    held, size = [], 0
+        if size:
+            add()
+        for k in range(ORDERS):
+            out = []
+            for part in range(PARTS):
+                piece = table[k, part * width : (part + 1) * width]
+                at = np.flatnonzero(piece)
+                if len(at):
+                    out.append((k, part, at.astype("<u4").tobytes(), piece[at].astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["k", "part", "cells", "times"])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                into = sums.setdefault((r.k, r.part), np.zeros(width, "u8"))
+                into[np.frombuffer(r.cells, "<u4")] += np.frombuffer(r.times, "<u4")
+        logs = [np.rint(1024 * np.log2(1.0 + x)).astype("<u2").tobytes() for x in sums.values()]
+        yield pd.DataFrame({"k": [k for k, _ in sums], "part": [p for _, p in sums], "logs": logs})
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "k int, part int, cells binary, times binary")
+    parts = counted.repartition("k", "part").mapInPandas(add_up, "k int, part int, logs binary")
+    out = np.zeros((ORDERS, 1 << CELL_BITS), "u2")
+    for r in parts.collect():  # at most ORDERS * PARTS rows, ORDERS * CELLS * 2 bytes together
+        out[r["k"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["logs"], "<u2")
+    return out
 
-    def first(order) -> Column:
-        return F.transform(F.slice(F.array_sort(F.transform("x", order)), 1, F.col("keep")), lambda y: y["h"])
 
-    c = c.withColumn("keep", keep).withColumn("full", full).filter(F.col("keep") > 0)
-    every = F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long"))
+def _sets(docs: DataFrame, counts: np.ndarray, n: int, t: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """Written table (doc_id, _t, n, cid, map, h, at, o2, o3, row): h are the prefix tokens under the first order and at
+    their places, o2 and o3 those (32 bits of each) under the others, all without tokens that are alone in their cell;
+    row numbers the rows."""
+    alone = 1024  # of a count of 1
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    names = ("n", "cid", "map", "h", "at", "o2", "o3")
+
+    def of(text: str | None) -> tuple:
+        s = shingles(text, n)
+        p = t.prefix(len(s)) if len(s) else 0
+        prefixes = []
+        for k in range(ORDERS):
+            rare = counts[k][_cells(s, k)]
+            order = np.lexsort((s, rare))[:p]
+            kept = np.flatnonzero(rare[order] > alone)
+            prefixes.append((s[order[kept]], kept))
+        (h, at), *more = prefixes
+        return (len(s), class_of(s), parity_map(s), h.view("i8"), at.astype("i4"), *[x.astype("u4").view("i4") for x, _ in more])
 
-    def signature(k: int) -> Column:
-        order = lambda x: F.struct(x["late"].alias("late"), F.xxhash64(x["h"], F.lit(k)).alias("o"), x["h"].alias("h"))
-        mixed = F.transform(first(order), lambda h: F.xxhash64(h, F.lit(k + 100)))
-        return F.when(F.col("full"), F.array(*_signature(mixed))).otherwise(every)
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [of(text) for text in batch["text"]]
+            yield batch[["doc_id", "_t"]].assign(**{c: [x[i] for x in out] for i, c in enumerate(names)})
 
-    c = c.select("cid", "n", "map", first(lambda x: x).alias("h"), signature(2).alias("s2"), signature(3).alias("s3"))
-    return cut(c.select("cid", "n", "map", "s2", "s3", F.explode("h").alias("h")), "prefixes")
+    schema = f"doc_id {id_type}, _t bigint, n bigint, cid binary, map array<bigint>, h array<bigint>, at array<int>, o2 array<int>, o3 array<int>"
+    return cut(rows.mapInPandas(sets, schema).withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def _differ(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(MAP_BITS // 64)), F.lit(0))
 
 
-def _meet(a: Column, b: Column) -> Column:
-    return (a[0].bitwiseAND(b[0]) != 0) | (a[1].bitwiseAND(b[1]) != 0)
-
-
-def _passes(t: Threshold, a: str, b: str) -> Column:
-    """All filters but the first order's."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    return t.may(x("n"), y("n"), _differ(x("map"), y("map"))) & _meet(x("s2"), y("s2")) & _meet(x("s3"), y("s3"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """Written table of the pairs (a, b) that reach the threshold; ``sets`` has (cid, s), a row for each class."""
-    x = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a")
-    both = x.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
+def _candidates(pairs: DataFrame, info: DataFrame, t: Threshold) -> DataFrame:
+    """Written table of the pairs (a, b) that the second and third order, sizes and bit maps leave."""
+    for side in ("a", "b"):
+        pairs = pairs.join(info.select(F.col("row").alias(side), F.struct("n", "map", "o2", "o3").alias(f"_{side}")), side)
+    x, y = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
+    may = t.sizes(x("n"), y("n")) & t.differ(x("n"), y("n"), _differ(x("map"), y("map")))
+    meet = F.arrays_overlap(x("o2"), y("o2")) & F.arrays_overlap(x("o3"), y("o3"))
+    return cut(pairs.filter(may).filter(meet).select("a", "b"), "candidates")
+
+
+@dataclass
+class _Whole:
+    """The full sets of classes, read from their texts when first wanted."""
+
+    docs: DataFrame
+    sets: DataFrame
+    n: int
+    id_col: str
+    text_col: str
+    held: DataFrame | None = None
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """(row, s) for the classes in ``rows`` (row) at least; written."""
+        n, rows = self.n, rows.distinct()
+        if self.held is not None:
+            rows = rows.join(self.held.select("row"), "row", "left_anti")
+        rows = cut(rows, "wanted")
+        member = self.sets.join(small(rows, ROWS), "row", "left_semi")
+        chosen = cut(member.select(F.col("doc_id").alias("_i"), F.col("_t").alias("_u"), "row"), "chosen")
+        d = self.docs.select(F.col(self.id_col).alias("_d"), F.xxhash64(self.text_col).alias("_t"), F.col(self.text_col).alias("text"))
+        d = d.join(small(chosen, ROWS), F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")))
+
+        def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[["row"]].assign(s=[shingles(x, n).view("i8") for x in batch["text"]])
+
+        more = cut(d.select("row", "text").mapInPandas(full, "row bigint, s array<bigint>").dropDuplicates(["row"]), "whole")
+        self.held = more if self.held is None else self.held.unionByName(more)
+        return self.held
+
+
+def _verified(pairs: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
+    """Written table of the pairs (a, b) that reach the threshold."""
+    sets = whole.of(pairs.select(F.explode(F.array("a", "b")).alias("row")))
+    x = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a")
+    both = x.join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     return cut(both.filter(t.linked(inter, F.size("x"), F.size("y"))).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, root) for every end of the links (a, b): root is the least end of its component. Large-star and small-star
+    """(row, root) for every end of the links (a, b): root is the least end of its component. Large-star and small-star
     rounds, each written, until the edges stay as they are."""
     edges = cut(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct(), "edges")
     before = None
@@ -180,46 +252,61 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(edges.filter("v <> m").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("v").alias("cid"), F.col("m").alias("root")).unionByName(edges.select(F.col("m").alias("cid"), F.col("m").alias("root")).distinct())
+            return edges.select(F.col("v").alias("row"), F.col("m").alias("root")).unionByName(edges.select(F.col("m").alias("row"), F.col("m").alias("root")).distinct())
         before = now
 
 
-def _links(docs: DataFrame, sets: DataFrame, n: int, t: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(links, whole): pairs (a, b) that connect all components, and (cid, s) of every class that may be linked."""
+def _grouped(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Written table: the rows of ``shared`` in buckets of more than one group, with g, the group, and main, the bucket's
+    largest group."""
+    g = shared.join(small(cut(roots, "roots"), ROWS), "row", "left").withColumn("g", F.coalesce("root", "row")).drop("root")
+    parts = g.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("h").agg(F.max(F.struct("m", "g")).alias("x"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    main = cut(main.select("h", F.col("x.g").alias("main")), "main_groups")
+    return cut(g.join(small(main, ROWS), "h"), "grouped")
+
+
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
+    """Pairs (a, b) of classes that connect all components."""
     first = cut(sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("row").alias("row")).select("row"), "first")
     classes = sets.join(small(first, ROWS), "row", "left_semi")
-    prefixes = _prefixes(classes, t)
-    one = F.struct("cid", "n", "map", "s2", "s3")
-    pivots = cut(prefixes.groupBy("h").agg(F.min(one).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "p"), "pivots")
-    row = prefixes.select("h", one.alias("r"))
-    star = row.join(pivots, "h").filter((F.col("r.cid") != F.col("p.cid")) & _passes(t, "r", "p"))
-    star = cut(star.select(F.col("r.cid").alias("a"), F.col("p.cid").alias("b")).distinct(), "star")
-
-    wanted = prefixes.select("cid").distinct()
-    chosen = cut(classes.select("cid", "doc_id", "_t").join(wanted, "cid", "left_semi").select("doc_id", "_t"), "chosen")
-    text_batches(docs.sparkSession)
-
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            every = [shingles(x, n) for x in batch["text"]]
-            yield pd.DataFrame({"cid": [class_of(s) for s in every], "s": [s.view("i8") for s in every]})
-
-    d = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_u"), F.col(text_col).alias("text"))
-    d = d.join(small(chosen), F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_u") == F.col("_t")), "left_semi")
-    whole = cut(d.select("text").mapInPandas(full, "cid binary, s array<bigint>").dropDuplicates(["cid"]), "whole")
-
-    links = _verified(star, whole, t)
-    groups = cut(links.groupBy("a").agg(F.min("b").alias("g")), "groups")  # a class and the least pivot that it is linked with
-    groups = groups.unionByName(links.select(F.col("b").alias("a"), F.col("b").alias("g")).distinct().join(groups.select("a"), "a", "left_anti"))
-    groups = cut(groups, "groups").withColumnRenamed("a", "cid")
-    g = prefixes.join(groups, "cid", "left").withColumn("g", F.coalesce("g", "cid"))
-    of_pivot = cut(pivots.select("h", F.col("p.cid").alias("cid")).join(groups, "cid", "left").select("h", F.coalesce("g", "cid").alias("pg")), "pivot_groups")
-    g = cut(g.join(of_pivot, "h").select("h", F.struct("cid", "n", "map", "s2", "s3", "g").alias("r"), (F.col("g") == F.col("pg")).alias("main")), "grouped")
-    a, b = g.filter(~F.col("main")).select("h", F.col("r").alias("x")), g.select("h", F.col("r").alias("y"), "main")
-    rest = a.join(b, "h").filter((F.col("x.g") != F.col("y.g")) & (F.col("main") | (F.col("x.cid") < F.col("y.cid"))) & _passes(t, "x", "y"))
-    rest = rest.select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")).distinct()
-    rest = cut(rest.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(_verified(rest, whole, t)), whole
+    tokens = classes.select("row", "n", F.explode(F.arrays_zip("h", "at")).alias("x")).select("row", "n", "x.h", "x.at")
+    often = cut(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("pivot")).filter("k > 1"), "often")
+    shared = cut(tokens.join(small(often, ROWS), "h"), "shared")
+    info = cut(classes.select("row", "n", "map", "o2", "o3").join(shared.select("row").distinct(), "row", "left_semi"), "info")
+
+    tried = cut(shared.filter("row <> pivot").select(*_pairs(F.col("row"), F.col("pivot"))).distinct(), "star")
+    links = _verified(_candidates(tried, info, t), whole, t)
+    shared = shared.drop("pivot")
+    while True:
+        grouped = _grouped(shared, components(links))
+        outside = F.count(F.when(F.col("g") != F.col("main"), 1))
+        left = grouped.groupBy("h").agg(outside.alias("u"), F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("u") * F.col("k")), F.sum("k")).first()
+        if not left[1] or left[0] <= 4 * left[1]:
+            break
+        other = grouped.filter("g <> main").groupBy("h").agg(F.min("row").alias("pivot"), F.min_by("g", "row").alias("pg"))
+        star = grouped.join(other, "h").filter("g <> pg").select(*_pairs(F.col("row"), F.col("pivot"))).distinct()
+        star = cut(star.join(tried, ["a", "b"], "left_anti"), "star")
+        tried = tried.unionByName(star)
+        more = _verified(_candidates(star, info, t), whole, t)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+
+    g = grouped.join(info.select("row", "map"), "row").withColumn("blocks", F.ceil(F.col("k") / BUCKET).cast("int"))
+    one = F.struct("row", "n", "at", "map", "g").alias("r")
+    a = g.filter("g <> main").select("h", one, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = g.select("h", one, (F.col("g") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"))
+    a, b = a.withColumnRenamed("r", "x"), b.withColumnRenamed("r", "y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    may = t.sizes(x("n"), y("n")) & t.places(x("n"), x("at"), y("n"), y("at")) & t.differ(x("n"), y("n"), _differ(x("map"), y("map")))
+    rest = a.join(b, ["h", "block"]).filter((x("g") != y("g")) & (F.col("in_main") | (x("row") < y("row"))) & may)
+    rest = cut(rest.select(*_pairs(x("row"), y("row"))).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    return links.unionByName(_verified(_candidates(rest, info, t), whole, t))
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -242,49 +329,53 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _degrees(rooted: DataFrame, whole: DataFrame, t: Threshold) -> DataFrame:
-    """Written table (cid, d): documents of other classes linked with the class. ``rooted``: (cid, root, w, n), a row for
+def _degrees(rooted: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
+    """Written table (row, d): documents of other classes linked with the class. ``rooted``: (row, root, w, n), a row for
     each class of w documents and n tokens."""
     groups = cut(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("of"), F.sum("n").alias("k")).filter("m > 1"), "link_groups")
     member = rooted.join(small(groups), "root")
-    two = member.filter("m = 2").select("cid", (F.col("of") - F.col("w")).alias("d"))
+    two = member.filter("m = 2").select("row", (F.col("of") - F.col("w")).alias("d"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("k") / TOKENS)).cast("int")
-    many = member.filter("m > 2").select("cid", "root", "w", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block")).join(whole, "cid")
+    many = member.filter("m > 2").select("row", "root", "w", blocks.alias("blocks"), F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"))
+    many = many.join(whole.of(many.select("row")), "row")
     many = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cid", "w", "s")
+    many = many.select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "row", "w", "s")
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
         x, y = rows[rows["block"] == i], rows[rows["block"] == j]
         if not len(x) or not len(y):
-            return pd.DataFrame({"cid": [], "d": []})
+            return pd.DataFrame({"row": [], "d": []})
         a, b = np.array([len(s) for s in x["s"]])[:, None], np.array([len(s) for s in y["s"]])[None, :]
         inter = _common(list(x["s"]), list(y["s"]))
         linked = inter * t.den >= (a + b - inter) * t.num
         if i == j:
             np.fill_diagonal(linked, False)
-        out = pd.DataFrame({"cid": x["cid"], "d": linked @ y["w"].to_numpy()})
-        return out if i == j else pd.concat([out, pd.DataFrame({"cid": y["cid"], "d": linked.T @ x["w"].to_numpy()})])
+        out = pd.DataFrame({"row": x["row"], "d": linked @ y["w"].to_numpy()})
+        return out if i == j else pd.concat([out, pd.DataFrame({"row": y["row"], "d": linked.T @ x["w"].to_numpy()})])
 
-    counted = many.groupBy("root", "i", "j").applyInPandas(count, "cid binary, d bigint")
-    return cut(two.unionByName(counted).groupBy("cid").agg(F.sum("d").alias("d")), "degrees")
+    counted = many.groupBy("root", "i", "j").applyInPandas(count, "row bigint, d bigint")
+    return cut(two.unionByName(counted).groupBy("row").agg(F.sum("d").alias("d")), "degrees")
 
 
 def similar_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """A row for each document: doc_id, _t (hash of the text), n_shingles, component_id (the least id reachable by links);
     with ``count_links`` also n_links, the number of other documents linked with it, copies included."""
     t = Threshold(num, den)
-    sets = _sets(docs, n, t, id_col, text_col)
-    links, whole = _links(docs, sets, n, t, id_col, text_col)
-    roots = components(links)
-    classes = sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("w"), F.max("n").alias("n"))
-    rooted = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = cut(rooted, "rooted")
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    names = rooted.join(named, "root").select("cid", "component_id", "w")
+    text_batches(docs.sparkSession)
+    sets = _sets(docs, _counts(docs, n, text_col), n, t, id_col, text_col)
+    whole = _Whole(docs, sets, n, id_col, text_col)
+    roots = components(_links(sets, whole, t))
+    members = sets.filter(F.col("cid").isNotNull()).groupBy("cid")
+    classes = members.agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("w"), F.max("n").alias("n"))
+    rooted = cut(classes.join(roots, "row", "left").filter("w > 1 or root is not null").withColumn("root", F.coalesce("root", "row")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = rooted.join(named, "root").select("row", "cid", "component_id", "w")
+    links = F.lit(0).cast("long")
     if count_links:
-        names = names.join(_degrees(rooted, whole, t), "cid", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("d", F.lit(0)))
-    names = cut(names.drop("w", "d"), "names")
-    out = sets.select("doc_id", "_t", "n", "cid").join(names, "cid", "left")
-    more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
-    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
+        names = names.join(_degrees(rooted, whole, t), "row", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("d", F.lit(0)))
+        links = F.coalesce("n_links", links)
+    names = small(cut(names.drop("w", "d", "row").withColumnRenamed("cid", "_c"), "names"), ROWS)
+    out = sets.select("doc_id", "_t", "n", "cid").join(names, F.col("cid") == F.col("_c"), "left")
+    own = F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), own.alias("component_id"), *([links.alias("n_links")] if count_links else []))
