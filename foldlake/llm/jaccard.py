@@ -213,6 +213,8 @@ class _Whole:
         if self.held is not None:
             rows = rows.join(self.held.select("row"), "row", "left_anti")
         rows = cut(rows, "wanted")
+        if self.held is not None and rows.isEmpty():
+            return self.held
         member = self.sets.join(small(rows, ROWS), "row", "left_semi")
         chosen = cut(member.select(F.col("doc_id").alias("_i"), F.col("_t").alias("_u"), "row"), "chosen")
         d = self.docs.select(F.col(self.id_col).alias("_d"), F.xxhash64(self.text_col).alias("_t"), F.col(self.text_col).alias("text"))
@@ -229,6 +231,8 @@ class _Whole:
 
 def _verified(pairs: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     """Written table of the pairs (a, b) that reach the threshold."""
+    if pairs.isEmpty():
+        return pairs
     sets = whole.of(pairs.select(F.explode(F.array("a", "b")).alias("row")))
     x = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a")
     both = x.join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
@@ -236,24 +240,26 @@ def _verified(pairs: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     return cut(both.filter(t.linked(inter, F.size("x"), F.size("y"))).select("a", "b"), "links")
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether every end v has one m, which is no v itself."""
+    chained = edges.join(edges.select(F.col("m").alias("v")).distinct(), "v", "left_semi").select("v")
+    return chained.unionByName(edges.groupBy("v").count().filter("count > 1").select("v")).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(row, root) for every end of the links (a, b): root is the least end of its component. Large-star and small-star
-    rounds, each written, until the edges stay as they are."""
+    rounds, each written, until the edges are stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct(), "edges")
-    before = None
-    while True:
+    while not _starred(edges):
         both = edges.unionByName(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = cut(both.groupBy("v").agg(F.min("m").alias("l")).select("v", F.least("v", "l").alias("l")), "least")
+        least = both.groupBy("v").agg(F.min("m").alias("l")).select("v", F.least("v", "l").alias("l"))
         large = both.join(least, "v").filter(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("l").alias("m"))
         edges = cut(large.filter("v <> m").distinct(), "edges")
-        least = cut(edges.groupBy("v").agg(F.min("m").alias("l")), "least")
-        low = edges.join(least, "v")
-        edges = low.select(F.col("m").alias("v"), F.col("l").alias("m")).unionByName(least.select("v", F.col("l").alias("m")))
-        edges = cut(edges.filter("v <> m").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("v").alias("row"), F.col("m").alias("root")).unionByName(edges.select(F.col("m").alias("row"), F.col("m").alias("root")).distinct())
-        before = now
+        least = edges.groupBy("v").agg(F.min("m").alias("l"))
+        low = edges.join(least, "v").select(F.col("m").alias("v"), F.col("l").alias("m"))
+        edges = cut(low.unionByName(least.select("v", F.col("l").alias("m"))).filter("v <> m").distinct(), "edges")
+    roots = edges.select(F.col("m").alias("row"), F.col("m").alias("root")).distinct()
+    return edges.select(F.col("v").alias("row"), F.col("m").alias("root")).unionByName(roots)
 
 
 def _grouped(shared: DataFrame, roots: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def test_jaccard_odd_rows(spark):
 
 def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 99), (99, 98), (205, 200), (205, 201)]
-    got = {r.cid: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.row: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 98: 98, 99: 98, 100: 98, 200: 200, 201: 200, 205: 200}
 
 
