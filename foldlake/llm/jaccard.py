@@ -13,7 +13,7 @@ the third order too, and the parity bit maps of the sets must not differ in more
 What passes all filters is verified on the full sets.
 
 A large group of alike documents is not expanded into pairs. In each bucket (the classes with one prefix token) all are
-compared with one pivot first, and the links give components. While that links groups anew, buckets that still hold
+compared with one pivot first, and the links give components. While that halves the comparisons left, buckets that still hold
 several components take another pivot from outside their largest one. Then the classes outside the largest component of
 a bucket are compared with all classes of other components, in blocks of bounded size. Pairs of one component need no
 comparison: they cannot change it. Components come by large-star and small-star rounds. Where links are to be counted,
@@ -27,6 +27,7 @@ others but names no component; a component of null ids only is null. Texts are r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,13 +46,15 @@ MAP_BITS = 256
 #: Tables of counts, one for each order; cells of a table; parts that a table is summed in.
 ORDERS, CELL_BITS, PARTS = 3, 22, 64
 #: Tokens that a task counts at once.
-COUNTED = 1 << 20
+COUNTED = 1 << 21
 #: Rows up to which the classes' representatives, and a table of (token, pivot), are broadcast.
 ROWS = 1_000_000
+#: Comparisons left, as a multiple of the rows in buckets, up to which buckets take no further pivot.
+LEFT = 16
 #: Classes of a bucket that one block of comparisons takes.
 BUCKET = 512
 #: Classes and tokens of a block in which links are counted, in expectation; tokens multiplied at once.
-BLOCK, TOKENS, COLUMNS = 1024, 1 << 20, 4096
+BLOCK, TOKENS, COLUMNS = 256, 1 << 18, 4096
 
 
 @dataclass(frozen=True)
@@ -114,8 +117,7 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
 
         def add() -> None:
             for k in range(ORDERS):
-                cells, times = np.unique(_cells(np.concatenate(held), k), return_counts=True)
-                table[k, cells] += times.astype("u4")
+                table[k] += np.bincount(_cells(np.concatenate(held), k), minlength=1 << CELL_BITS).astype("u4")
 
         for batch in batches:
             for text in batch["text"]:
@@ -132,7 +134,8 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
                 piece = table[k, part * width : (part + 1) * width]
                 at = np.flatnonzero(piece)
                 if len(at):
-                    out.append((k, part, at.astype("<u4").tobytes(), piece[at].astype("<u4").tobytes()))
+                    gaps, times = np.diff(at, prepend=0).astype("<u2"), piece[at].astype("<u1" if piece.max() < 256 else "<u4")
+                    out.append((k, part, zlib.compress(gaps, 1), zlib.compress(times, 1)))
             yield pd.DataFrame(out, columns=["k", "part", "cells", "times"])
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +143,8 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 into = sums.setdefault((r.k, r.part), np.zeros(width, "u8"))
-                into[np.frombuffer(r.cells, "<u4")] += np.frombuffer(r.times, "<u4")
+                at, times = np.cumsum(np.frombuffer(zlib.decompress(r.cells), "<u2"), dtype="i8"), zlib.decompress(r.times)
+                into[at] += np.frombuffer(times, "<u1" if len(times) == len(at) else "<u4")
         logs = [np.rint(1024 * np.log2(1.0 + x)).astype("<u2").tobytes() for x in sums.values()]
         yield pd.DataFrame({"k": [k for k, _ in sums], "part": [p for _, p in sums], "logs": logs})
 
@@ -212,11 +216,10 @@ class _Whole:
         n, rows = self.n, rows.distinct()
         if self.held is not None:
             rows = rows.join(self.held.select("row"), "row", "left_anti")
-        rows = cut(rows, "wanted")
-        if self.held is not None and rows.isEmpty():
+        keys = self.sets.select(F.col("doc_id").alias("_i"), F.col("_t").alias("_u"), "row")
+        chosen = cut(keys.join(rows, "row", "left_semi"), "chosen")
+        if self.held is not None and chosen.isEmpty():
             return self.held
-        member = self.sets.join(small(rows, ROWS), "row", "left_semi")
-        chosen = cut(member.select(F.col("doc_id").alias("_i"), F.col("_t").alias("_u"), "row"), "chosen")
         d = self.docs.select(F.col(self.id_col).alias("_d"), F.xxhash64(self.text_col).alias("_t"), F.col(self.text_col).alias("text"))
         d = d.join(small(chosen, ROWS), F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")))
 
@@ -265,11 +268,10 @@ def components(links: DataFrame) -> DataFrame:
 def _grouped(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Written table: the rows of ``shared`` in buckets of more than one group, with g, the group, and main, the bucket's
     largest group."""
-    g = shared.join(small(cut(roots, "roots"), ROWS), "row", "left").withColumn("g", F.coalesce("root", "row")).drop("root")
+    g = shared.join(roots, "row", "left").withColumn("g", F.coalesce("root", "row")).drop("root")
     parts = g.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("h").agg(F.max(F.struct("m", "g")).alias("x"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    main = cut(main.select("h", F.col("x.g").alias("main")), "main_groups")
-    return cut(g.join(small(main, ROWS), "h"), "grouped")
+    return cut(g.join(main.select("h", F.col("x.g").alias("main")), "h"), "grouped")
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -285,23 +287,24 @@ def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     shared = cut(tokens.join(small(often, ROWS), "h"), "shared")
     info = cut(classes.select("row", "n", "map", "o2", "o3").join(shared.select("row").distinct(), "row", "left_semi"), "info")
 
-    tried = cut(shared.filter("row <> pivot").select(*_pairs(F.col("row"), F.col("pivot"))).distinct(), "star")
+    tried = shared.filter("row <> pivot").select(*_pairs(F.col("row"), F.col("pivot"))).distinct()
     links = _verified(_candidates(tried, info, t), whole, t)
-    shared = shared.drop("pivot")
+    shared, before = shared.drop("pivot"), None
     while True:
         grouped = _grouped(shared, components(links))
         outside = F.count(F.when(F.col("g") != F.col("main"), 1))
-        left = grouped.groupBy("h").agg(outside.alias("u"), F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("u") * F.col("k")), F.sum("k")).first()
-        if not left[1] or left[0] <= 4 * left[1]:
+        sizes = grouped.groupBy("h").agg(outside.alias("u"), F.count(F.lit(1)).alias("k"))
+        left, rows = sizes.agg(F.coalesce(F.sum(F.col("u") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        if left <= LEFT * rows or (before is not None and 2 * left > before):  # another pivot would not help much
             break
+        before = left
         other = grouped.filter("g <> main").groupBy("h").agg(F.min("row").alias("pivot"), F.min_by("g", "row").alias("pg"))
         star = grouped.join(other, "h").filter("g <> pg").select(*_pairs(F.col("row"), F.col("pivot"))).distinct()
         star = cut(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
-        more = _verified(_candidates(star, info, t), whole, t)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+        links = links.unionByName(_verified(_candidates(star, info, t), whole, t))
+    if not left:
+        return links
 
     g = grouped.join(info.select("row", "map"), "row").withColumn("blocks", F.ceil(F.col("k") / BUCKET).cast("int"))
     one = F.struct("row", "n", "at", "map", "g").alias("r")
