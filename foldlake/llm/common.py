@@ -14,6 +14,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows up to which a table may be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a table of wide rows may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where none is set, as in local tests."""
+    """The cluster's shared folder; a temporary one of our own only where none is set and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-foldlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,10 +42,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join.
-    ``df`` should be a written table: it is counted here."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join. With ``width``, the
+    bytes of a row of unbounded size, these must not exceed BROADCAST_BYTES in all. ``df`` should be a written table: it is
+    counted here."""
+    fits = df.limit(rows + 1).count() <= rows
+    if fits and width is not None:
+        fits = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -61,6 +69,15 @@ def text_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def packed(keep: dict[str, Column] | None) -> Column:
+    """Columns to be kept, as one: no name of theirs can clash with one of ours."""
+    return F.struct(*[c.alias(n) for n, c in (keep or {}).items()]) if keep else F.struct(F.lit(0).alias("none"))
+
+
+def unpacked(keep: dict[str, Column] | None, column: str = "kept") -> list[Column]:
+    return [F.col(f"{column}.`{n}`").alias(n) for n in keep or {}]
+
+
 def bounded_sample(df: DataFrame, id_col: str, rows: int, by: str | None = None) -> DataFrame:
     """About ``rows`` rows of ``df`` (of each value of ``by``), all if there are fewer, chosen by a hash of the id.
 

@@ -7,7 +7,7 @@ themselves; so every shared span of ``width`` words or more is found, and no oth
 window of all its words; items of such a length are winnowed with windows of their own.
 
 Documents' k-grams whose bit is not set in a bit map of the benchmark's k-grams (of fixed size) never leave their task.
-The join is a broadcast one only if the benchmark's k-grams are few enough.
+The join is a broadcast one only if the benchmark's k-grams are few enough, in rows and in bytes.
 
 Defined results: a null or empty text has no words and is clean. Repeated rows get the same result each. A null doc_id
 stays null. An item without words occurs nowhere; one without an id marks words but is not counted or named. An empty
@@ -151,7 +151,9 @@ def find_hits(grams: DataFrame, bench: DataFrame) -> DataFrame:
     """Rows (doc_id, _t, item, start, stop): runs of document words inside an occurrence of a window."""
     d = grams.filter(F.size("g") > 0).select("doc_id", "_t", F.explode("g").alias("d")).select("doc_id", "_t", F.col("d.k").alias("k"), F.col("d.w").alias("w"), F.col("d.fp").alias("fp"), F.struct("d.at", "d.left", "d.core", "d.right").alias("d"))
     b = bench.select("item", "k", "w", "fp", F.struct("left", "core", "right").alias("b"))
-    hit = d.join(small(b), ["fp", "k", "w"]).filter(F.col("d.core") == F.col("b.core"))
+    words = F.concat("b.left", F.array("b.core"), "b.right")
+    wide = F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)
+    hit = d.join(small(b, width=wide), ["fp", "k", "w"]).filter(F.col("d.core") == F.col("b.core"))
     hit = hit.withColumn("l", _alike(F.col("d.left"), F.col("b.left"))).withColumn("r", _alike(F.col("d.right"), F.col("b.right")))
     hit = hit.filter(F.col("l") + F.col("k") + F.col("r") >= F.col("w"))
     return hit.select("doc_id", "_t", "item", (F.col("d.at") - F.col("l")).alias("start"), (F.col("d.at") + F.col("k") + F.col("r")).alias("stop"))

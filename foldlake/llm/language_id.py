@@ -149,13 +149,15 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict
     """The columns ``keep`` of each row, and lang_pred, score (calibrated probability), rejected."""
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double, rejected boolean"])
+    keep = keep or {}
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(keep.values())], F.col(text_col).alias("text"))  # by number: names may clash
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double, rejected boolean"])
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [classify(t, sent.value, settings) for t in batch["_text"]]
-            yield batch.drop(columns="_text").assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], rejected=[x[2] for x in out])
+            out = [classify(t, sent.value, settings) for t in batch["text"]]
+            yield batch.drop(columns="text").assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], rejected=[x[2] for x in out])
 
-    return rows.mapInPandas(score, schema)
+    found = rows.mapInPandas(score, schema)
+    return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(keep)], "lang_pred", "score", "rejected")

@@ -181,7 +181,8 @@ def _pack_round(pieces: DataFrame, size: int, number: int, part: int) -> DataFra
 
 def pack(pieces: DataFrame, *, size: int = 2048, part: int = PART, rounds: int = 4, loose: int | None = None) -> DataFrame:
     """PACKED rows for rows of PIECES. Sequences with less than ``loose`` free places (by default size / 64) stay in their
-    partition."""
+    partition. Partitions with a gap are packed anew together up to ``rounds`` - 1 times, or until that saves no sequence;
+    what is open then keeps its last packing, whose column gap says by how many sequences it may exceed the bound."""
     columns, loose = pieces.columns, max(1, size // 64) if loose is None else loose
     done, pool, n = None, _pack_round(cut(pieces, "pieces"), size, 0, part), 0
     while True:

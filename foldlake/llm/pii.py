@@ -6,9 +6,10 @@ entity. A term (a word of four letters or more, lower-cased) near an entity's me
     PMI(term; entity) / IC(entity) = log(n_et * N / (n_e * n_t)) / log(N / n_e)
 
 for N documents, of which n_e hold the entity, n_t the term and n_et the term near the entity: 1 when the term only
-occurs with the entity. Terms at ``generalise_at`` or more are generalised, at ``remove_at`` or more removed, if at
+occurs with the entity. Terms at ``generalise_at`` or more are generalised to a category (``<name>`` for a word with a
+capital, else ``<word>``), at ``remove_at`` or more removed, if at
 least ``min_support`` different contexts show the pair (copies of one passage count once). n_t is counted over the
-whole corpus. Nearness is evidence only: a disclosing term is found wherever it stands, far from a mention and in
+whole corpus. Documents are counted as different pairs of id and text, in all four numbers. Nearness is evidence only: a disclosing term is found wherever it stands, far from a mention and in
 documents without the entity too; it is removed if any of its entities says so. DataFrame functions only.
 
 Defined results: null text is empty and has no spans. Positions are code points, ends exclusive. Repeated rows get the
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, small
+from .common import cut, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -145,13 +146,13 @@ def base_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ), "pii_base")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text", min_support: int = 2,
+def disclosing_terms(docs: DataFrame, base: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_support: int = 2,
                      generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """Written table (entity, term, n_et, n_e, n_t, disclosure, action) of the pairs over the threshold."""
     x = base.filter(F.size("_mentions") > 0).select("doc_id", "_t", F.explode("_mentions").alias("x"))
     m = x.select("doc_id", "_t", "x.entity", "x.ctx", F.explode("x.terms").alias("y")).select("doc_id", "_t", "entity", "ctx", "y.*")
     row = F.struct("doc_id", "_t")
-    n = base.count()
+    n = base.select("doc_id", "_t").distinct().count()
 
     def disclosure(n_t: Column) -> Column:
         pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * n_t))
@@ -165,10 +166,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, *, text_col: str = "text"
     near = near.join(entities, "entity").join(least, "term").filter(disclosure(F.col("n_near")) >= generalise_at)
     near = cut(near.select("entity", "term", "n_et", "n_e"), "pii_near")
     wanted = cut(near.select("term").distinct(), "pii_terms")
-    said = docs.select(F.explode(F.array_distinct(_words(F.col(text_col)))).alias("term"))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # others need not be counted
-        said = said.join(F.broadcast(wanted), "term", "left_semi")
-    counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    said = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_t"), F.explode(F.array_distinct(_words(F.col(text_col)))).alias("term"))
+    counts = said.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.countDistinct(row).alias("n_t"))  # others need not be counted
     pairs = near.join(counts, "term").withColumn("disclosure", disclosure(F.col("n_t")))
     pairs = pairs.filter(F.col("disclosure") >= generalise_at).withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise"))
     return cut(pairs.select("entity", "term", "n_et", "n_e", "n_t", "disclosure", "action"), "pii_pairs")
@@ -211,7 +210,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base (array of spans), terms (array of spans)."""
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
-    pairs = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
+    pairs = disclosing_terms(docs, base, id_col=id_col, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
     spans = term_spans(docs, pairs, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"})
     out = base.join(small(spans), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
     terms = F.transform(F.coalesce("_terms", F.array().cast(_TERMS)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
@@ -220,21 +219,22 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 60, min_support: int = 2,
              generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """``docs`` with ``<email>`` and the like in place of what is found; all else as it was. Overlapping spans become one."""
+    """``docs`` with ``<email>`` and the like in place of what is found, generalised terms by category; all else as it was. Overlapping spans become one."""
     columns = docs.columns
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
-    pairs = disclosing_terms(docs, base, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
+    pairs = disclosing_terms(docs, base, id_col=id_col, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
     spans = small(term_spans(docs, pairs, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])  # out of the way of our own names
     d = with_base(docs.select(row.alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_raw")), "_raw")
     d = d.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_raw") == F.col("_u")), "left")
     marked = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("remove")))
     every = F.array_sort(F.concat(marked, F.coalesce("_terms", F.array().cast(_TERMS))))
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS[:4]])
     text = F.col("_text")
 
     def put(acc, s):
-        mark = F.when(s["remove"], F.lit("")).otherwise(F.element_at(names, s["kind"] + 1))
+        category = F.when(F.substring(text, s["start"] + 1, F.lit(1)).rlike(r"\p{Lu}"), "<name>").otherwise("<word>")
+        mark = F.when(s["remove"], F.lit("")).when(s["kind"] == 4, category).otherwise(F.try_element_at(names, s["kind"] + 1))
         fresh = s["start"] >= acc["at"]
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_batches
+from .common import bounded_sample, packed, text_batches, unpacked
 
 REMEMBERED = 300_000
 _known: dict[str, int] = {}
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", length_col:
     spark = docs.sparkSession
     text_batches(spark)
     length = F.col(length_col).cast("double") if length_col else F.lit(None).cast("double")
-    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("__text"), length.alias("__length"))
+    rows = docs.select(packed(keep).alias("kept"), F.col(text_col).alias("text"), length.alias("length"))
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -192,4 +192,5 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", length_col:
         for text, n in texts:
             yield pd.Series([m.score(*inputs(t, x, m.settings.buckets)) for t, x in zip(text, n, strict=True)], dtype="float64")
 
-    return rows.withColumn(out[0], scored("__text", "__length")).withColumn(out[1], (F.col(out[0]) >= accept).cast("int")).drop("__text", "__length")
+    rows = rows.select("kept", scored("text", "length").alias("score"))
+    return rows.select(*unpacked(keep), F.col("score").alias(out[0]), (F.col("score") >= accept).cast("int").alias(out[1]))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, text_batches
+from .common import bounded_sample, cut, packed, text_batches, unpacked
 
 
 @dataclass(frozen=True)
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict[s
     """The columns ``keep`` of each row, score, predicted."""
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.col(text_col).alias("__text"))
+    rows = docs.select(packed(keep).alias("kept"), F.col(text_col).alias("text"))
     sent = spark.sparkContext.broadcast((model.classifier, model.settings))
 
     @F.pandas_udf("double")
@@ -306,4 +306,5 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: dict[s
             m = np.array([margin(tokens(t)) for t in batch], "f8")
             yield pd.Series(1 / (1 + np.exp(-np.clip(m, -30, 30))))
 
-    return rows.withColumn("score", scored("__text")).withColumn("predicted", (F.col("score") >= toxic_from).cast("int")).drop("__text")
+    rows = rows.select("kept", scored("text").alias("score"))
+    return rows.select(*unpacked(keep), "score", (F.col("score") >= toxic_from).cast("int").alias("predicted"))

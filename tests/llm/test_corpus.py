@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -61,6 +62,25 @@ def test_jaccard_is_brute_force(spark, n, num):
     assert got == {i: e for i, e in enumerate(_groups(texts, n, num))}
 
 
+def test_a_large_group_makes_few_candidates(spark, monkeypatch):
+    """500 near copies of one text, among them pairs that no pivot links: far fewer candidates than pairs, whole components."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(80)]
+    texts = []
+    for _ in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(word() for _ in range(80)) for _ in range(100)] + [" ".join(base * 260)]
+    made, inner = [], jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: made.append(out := inner(*a)) or out)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(_groups(texts, 5, 80)))
+    assert sum(df.count() for df in made) < 500 * 499 / 2 / 4
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_every_link_is_counted(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
@@ -104,7 +124,7 @@ def test_winnowing_is_brute_force(spark, tmp_path):
         s = _words(rng.choice(items)[1])
         a = rng.randint(0, max(0, len(s) - 1))
         docs.append((i, "; ".join(w[:20] + s[a : a + rng.randint(1, 40)] + w[20:]), i, "x"))
-    docs += [(200, None, 0, "x"), (201, "", 0, "x"), (None, items[0][1].upper(), 0, "x"), (5, docs[5][1], 0, "x"), (202, "Unnamed, item of fewer words!", 0, "x")]
+    docs += [(200, None, 0, "x"), (201, "", 0, "x"), (None, items[0][1].upper(), 0, "x"), (5, docs[5][1], 0, "x"), (202, "Unnamed, item of fewer words!", 0, "x"), (203, "b " * 12_000 + items[0][1] + " é" * 9_000, 0, "x")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in op7_decontamination(spark, str(tmp_path)).collect()}
@@ -116,7 +136,7 @@ def test_winnowing_is_brute_force(spark, tmp_path):
             k = min(13, len(v))
             for a in range(len(v) - k + 1 if k else 0):
                 for b in range(len(w) - k + 1):
-                    if w[b : b + k] == v[a : a + k]:
+                    if w[b] == v[a] and w[b : b + k] == v[a : a + k]:
                         hit.update(range(b, b + k))
                         found |= {item} - {None}
         want.add((doc, len(w), len(hit), len(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
@@ -189,6 +209,49 @@ def test_top_k(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def _plain_best(q_ids, q, ids, v, k):
+    out = set()
+    for a in range(len(q)):
+        scores = v @ q[a]
+        out |= {(a, int(b), int(scores[b])) for b in [b for b in np.lexsort((ids, -scores)) if ids[b] != q_ids[a]][:k]}
+    return out
+
+
+@pytest.mark.parametrize("scale", [64, 10**5, 10**8])
+def test_score_at_a_time_stops_on_proof(monkeypatch, scale):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.1, (3000, 24))
+    x[5:1500:7] = x[5]  # ties
+    v, ids = np.floor(x * scale).astype("i8"), np.arange(3000) * 2
+    q_ids = np.concatenate([ids[:150:2], [1, 3]])
+    q = np.concatenate([v[:150:2], v[10:12] * 3])
+    proven = []
+    whole = topk._exact_best
+    monkeypatch.setattr(topk, "_exact_best", lambda *a: proven.append(1) or whole(*a))
+    a, b, score = topk.best_of_block(q_ids, q, ids, topk.Postings.of(v), 20)
+    assert set(zip(a.tolist(), b.tolist(), score.tolist(), strict=True)) == _plain_best(q_ids, q, ids, v, 20) and len(a) == 20 * len(q)
+    assert len(proven) < len(q)  # the others stopped before the last segment
+
+
+def test_postings_hold_the_block():
+    v = np.random.default_rng(1).integers(-40, 40, (50, 6))
+    p = topk.Postings.of(v)
+    assert (p.dense() == v).all() and (np.diff(p.runs[:, 0]) <= 0).all()
+    held = [sum((x.astype("f8") ** 2).sum() for _, _, x in lists) for lists, _ in p.segments()]
+    rests = [rest.sum() for _, rest in p.segments()]
+    assert np.allclose(np.cumsum(held[::-1])[::-1][1:], rests[:-1]) and rests[-1] == 0
+    assert topk.best_of_block(np.array([1]), np.zeros((1, 3), "i8"), np.array([1, 2]), topk.Postings.of(np.zeros((2, 3), "i8")), 5)[1].tolist() == [1]
+
+
+def test_equal_vectors_stay_bounded():
+    v, ids = np.full((20_000, 16), 3), np.arange(20_000)
+    tracemalloc.start()
+    a, b, _ = topk.best_of_block(ids[::80], v[::80], ids, topk.Postings.of(v), 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 250 * 20 and b.max() == 20 and peak < 200 << 20
+
+
 def test_top_k_without_rows(spark):
     df = topk.quantised(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>"))
     assert topk.top_k(df, F.col("id") % 20 == 0).collect() == []

@@ -1,15 +1,18 @@
 """URL filter, PII and WARC: contracts, brute force, round trips, odd input."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from foldlake.llm import pii, warc
 from foldlake.llm.op1_query import RULES
 from foldlake.llm.op2_query import op2_pii
-from foldlake.llm.url_filter import judge_urls, prior_strength
+from foldlake.llm.url_filter import domain_of, judge_urls, prior_strength, site_of, suffix_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CASES = [
@@ -64,12 +67,71 @@ def test_disclosing_terms_go_everywhere(spark):
     rows += [(50, f"İ asked boss@corp.org then {far} İ met Zanzibarix, ZANZIBARIX and Zanzibarixes"), (51, "nobody else wrote like zanzibarix"), (51, "nobody else wrote like zanzibarix"), (None, "Zanzibarix")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = sorted((r.doc_id or 0, r.text) for r in pii.sanitise(docs).filter("doc_id is null or doc_id in (50, 51)").collect())
-    assert clean == [(0, "<term>"), (50, f"İ asked <email> then {far} İ met <term>, <term> and Zanzibarixes"), (51, "nobody else wrote like <term>"), (51, "nobody else wrote like <term>")]
+    assert clean == [(0, "<name>"), (50, f"İ asked <email> then {far} İ met <name>, <name> and Zanzibarixes"), (51, "nobody else wrote like <word>"), (51, "nobody else wrote like <word>")]
     found = {r.doc_id: r.terms for r in pii.find_pii(docs).collect()}
     text = rows[-4][1]
     assert [text[s["start"] : s["end"]] for s in found[50]] == ["Zanzibarix", "ZANZIBARIX"] and len(found[51]) == len(found[None]) == 1 and found[100] == []
 
 
+WORD = regex.compile(r"\p{L}{4,}")
+
+
+def _plain_disclosure(rows, window=60, at=0.8):
+    """(entity, term) to (n_et, n_e, n_t, disclosure), and (id, text) to the spans of its disclosing terms, in plain Python."""
+    docs = {(i, t or "") for i, t in rows}
+    near, contexts, having = {}, {}, {}
+    for doc in docs:
+        text, base = doc[1], _spans(doc[1])
+        for start, _, end, kind in base:
+            value = text[start:end].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[start:end])
+            entity = f"{kind}:{value}"
+            left, right = max(0, start - window), min(len(text), end + window)
+            having.setdefault(entity, set()).add(doc)
+            for a, b, open_left, open_right in ((left, start, left > 0, True), (end, right, True, right < len(text))):
+                for m in WORD.finditer(text[a:b]):
+                    cut_off = (open_left and m.start() == 0) or (open_right and m.end() == b - a)
+                    if not cut_off and not any(x[0] < a + m.end() and a + m.start() < x[2] for x in base):
+                        key = entity, m.group().lower()
+                        near.setdefault(key, set()).add(doc)
+                        contexts.setdefault(key, set()).add((text[left:start] + "\n" + text[end:right]).lower())
+    said = {}
+    for doc in docs:
+        for w in {w.lower() for w in WORD.findall(doc[1])}:
+            said.setdefault(w, set()).add(doc)
+    pairs = {}
+    for (entity, term), found in near.items():
+        n_et, n_e, n_t, n = len(found), len(having[entity]), len(said[term]), len(docs)
+        if len(contexts[entity, term]) >= 2 and n > n_e:
+            value = round(math.log(n_et * n / (n_e * n_t)) / math.log(n / n_e), 9)
+            if value >= at:
+                pairs[entity, term] = n_et, n_e, n_t, value
+    terms, spans = {t for _, t in pairs}, {}
+    for doc in docs:
+        base = _spans(doc[1])
+        spans[doc] = [(m.start(), m.end()) for m in WORD.finditer(doc[1]) if m.group().lower() in terms and not any(x[0] < m.end() and m.start() < x[2] for x in base)]
+    return pairs, spans
+
+
+def test_disclosure_is_brute_force(spark):
+    rng = random.Random(7)
+    words = ["alpha", "Bravo", "çharlie", "delta", "echoes", "of", "a", "Zanzibarix", "QUUX", "İvory", "tango"]
+    rows = []
+    for i in range(160):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        if i % 4 == 0:
+            text += f" İ Smithson{'abc'[i % 3]} wrote from smith{i % 3}@corp.org{'.' * (i % 2)} Kontakt{'abc'[i % 3]} " + " ".join(rng.choice(words) for _ in range(rng.randint(0, 20)))
+        if i % 10 == 0:
+            text += f" at 10.0.0.{i % 2} Hostmaster{'xy'[i % 2]} " + "padding " * 12 + f"Smithson{'abc'[i % 3]}"
+        rows.append((i, text))
+    rows += rows[:20] + [(None, rows[0][1]), (None, None), (3, ""), (3, rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, spans = _plain_disclosure(rows)
+    got = pii.disclosing_terms(docs, pii.base_table(docs)).collect()
+    assert {(r.entity, r.term): (r.n_et, r.n_e, r.n_t, r.disclosure) for r in got} == want and len(want) > 4
+    found = sorted((str(r.doc_id), [(s["start"], s["end"]) for s in r.terms]) for r in pii.find_pii(docs).collect())
+    assert found == sorted((str(i), spans[i, t or ""]) for i, t in rows) and any(s for _, s in found)
+
+
 def test_bare_mentions_count(spark):
     rows = [(i, f"by{i} Zanzibarix to boss@corp.org at {i}") for i in range(6)] + [(50 + i, f"{i} boss@corp.org") for i in range(20)] + [(100 + i, "none") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -103,11 +165,32 @@ def test_reputation_shrinks(spark):
 
 def test_prior_strength():
     same = {"g": 10.0, "n": 100.0, "k": 50.0, "q": 25.0}
-    assert prior_strength(same, {"g": 1.0, "n": 100.0, "k": 50.0, "q": 25.0}) == 1000.0
+    assert prior_strength(same, {"g": 1.0, "n": 100.0, "k": 50.0, "q": 25.0}) == 10.0
     apart = {"g": 10.0, "n": 100.0, "k": 50.0, "q": 50.0}
     assert prior_strength(apart, {"g": 1.0, "n": 100.0, "k": 50.0, "q": 25.0}) == 0.5
 
 
+def test_doubt_is_handed_down(spark):
+    """Two bad suffixes of many bad pages do not condemn an unseen one; a bad domain does condemn its new hosts."""
+    rows = [(i, f"http://h{i % 8}.d{i % 40}.{('net', 'biz')[i % 2]}/", 1) for i in range(400)] + [(1000 + i, f"http://good{i}.d{i}.net/", 0) for i in range(9)]
+    rows += [(2000, "http://new.d1.biz/", None), (2001, "http://new.d999.biz/", None), (2002, "http://new.unseen/", None), (2003, "http://u@h1.d1.biz:8080/", None)]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, bad int"), [], bad=F.col("bad")).filter("page_id >= 2000").collect()}
+    assert {i: r.verdict for i, r in got.items()} == {2000: "block", 2001: "block", 2002: "allow", 2003: "block"}
+    assert got[2000].lower > got[2001].lower > 0.5 > got[2002].lower and got[2003].host == "u@h1.d1.biz:8080"
+
+
+def test_domains(spark):
+    rows = [("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("10.1.2.3", "10.1.2.3", "10.1.2.3"), ("[::1]", "[::1]", "[::1]"), ("x.y.example.com", "example.com", "com"), ("local", "local", "local"), ("", "", "")]
+    df = spark.createDataFrame(rows, "site string, d string, s string")
+    assert df.filter((domain_of(F.col("site")) != F.col("d")) | (suffix_of(F.col("site")) != F.col("s"))).collect() == []
+    assert df.limit(1).select(site_of(F.lit("u:p@a.com:80")), site_of(F.lit("a.com"))).first()[:] == ("a.com", "a.com")
+
+
+def test_equal_rules_tie_by_order(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    assert judge_urls(df, [("a.com", "/", "block"), ("a.com", "/", "allow")]).first().verdict == "allow"
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500 + "é"
     rows = [(1, "http://a/", "<p>small</p>", "e"), (2, None, big, "e"), (3, "u\r\nbad: header", big, "e"), (3, "u", big, "e"), (None, "u", big, "e"), (4, "u", None, "e"), (5, "u", "<p>small</p>", "e"), (6, "u", "y" * 3_000_000, "e")]

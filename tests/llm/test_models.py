@@ -114,3 +114,29 @@ def test_held_out_labels_are_not_read(corpus):
     flipped = labels.withColumn("quality", F.when(rest == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.fit(docs, x.filter(rest != 2), settings=quality.Settings(sample=200, epochs=1)) for x in (labels, flipped))
     assert np.array_equal(a.weights, b.weights)
+
+
+def test_empty_tables(spark, corpus):
+    docs, labels, _, _ = corpus
+    none = docs.filter("doc_id < 0")
+    assert toxicity.score(none, toxicity.fit(none, labels.filter("doc_id < 0"), F.lit(True))).collect() == []
+    assert language_id.predict(none, language_id.fit(none)).collect() == []
+
+
+def test_kept_names_may_clash(corpus):
+    docs, labels, _, _ = corpus
+    names = ("text", "length", "kept", "_text", "__text", "__length", "c0")
+    keep, some = {n: F.lit(i) for i, n in enumerate(names)}, docs.limit(2)
+    for got in (quality.score(some, quality.fit(none := docs.filter("doc_id < 0"), labels.limit(0)), keep=keep), toxicity.score(some, toxicity.fit(none, labels.limit(0), F.lit(True)), keep=keep), language_id.predict(some, language_id.fit(none), keep=keep)):
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(range(len(names)))}
+
+
+def test_predictions_are_the_plain_ones(corpus):
+    """Scores in tasks are those of the model row by row; equal probabilities go to the first language."""
+    docs, _, _, _ = corpus
+    s = language_id.Settings(per_lang=50, epochs=2)
+    model = language_id.fit(docs, settings=s)
+    got = sorted(((r.t, r.lang_pred, round(r.score, 9)) for r in language_id.predict(docs, model, keep={"t": F.col("text")}, settings=s).collect()), key=str)
+    assert got == sorted(((r.text, c[0], round(c[1], 9)) for r in docs.collect() if (c := language_id.classify(r.text, model, s))), key=str)
+    flat = language_id.Model(["aa", "bb"], np.zeros((s.buckets, s.dim), "f4"), np.zeros((2, s.dim)), np.zeros(2), 1.0, 0.0)
+    assert language_id.classify("some text", flat, s)[0] == "aa"
