@@ -24,16 +24,32 @@ def update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
-def align(records: DataFrame) -> DataFrame:
+def align(records: DataFrame, exact: list[str] | None = None) -> DataFrame:
     """segment_id, aa, ss, phi, psi, omega (strings and arrays of one length) from whole records: first and last residues
-    are trimmed, phi and omega drop their last value, psi its first; records whose lengths then differ fall out."""
-    n = F.size("psi")
-    t = records.select(
-        "segment_id", F.expr("substring(fasta, 2, greatest(length(fasta) - 2, 0))").alias("aa"), F.expr("substring(dssp, 2, greatest(length(dssp) - 2, 0))").alias("ss"),
-        F.slice("phi", 1, F.greatest(F.size("phi") - 1, F.lit(0))).alias("phi"), F.slice("psi", 2, F.greatest(n - 1, F.lit(0))).alias("psi"), F.slice("omega", 1, F.greatest(F.size("omega") - 1, F.lit(0))).alias("omega"),
-    )
+    are trimmed, phi and omega drop their last value, psi its first; records whose lengths then differ fall out. ``exact``
+    names further lists (bend angles, bond lengths) that hold a value for each residue kept, and must do so."""
+    inner = lambda c: F.expr(f"substring({c}, 2, greatest(length({c}) - 2, 0))").alias({"fasta": "aa", "dssp": "ss"}[c])
+    short = lambda c, first: F.slice(c, first, F.greatest(F.size(c) - 1, F.lit(0))).alias(c)
+    t = records.select("segment_id", inner("fasta"), inner("dssp"), short("phi", 1), short("psi", 2), short("omega", 1), *(exact or []))
     k = F.length("aa")
-    return t.filter((F.length("ss") == k) & (F.size("phi") == k) & (F.size("psi") == k) & (F.size("omega") == k) & (k > 0))
+    fits = (F.length("ss") == k) & (k > 0)
+    for c in ("phi", "psi", "omega", *(exact or [])):
+        fits = fits & (F.size(c) == k)
+    return t.filter(fits)
+
+
+def slices(aligned: DataFrame, per: int = 1000) -> DataFrame:
+    """segment_id, start, stop of each record in the joined database, where records follow each other by id with one spacer
+    between. Lengths are summed in two levels, of buckets of ``per`` ids and of those, so no task sees all records."""
+    d = aligned.select("segment_id", F.length("aa").cast("long").alias("_n")).withColumn("_b", F.floor(F.col("segment_id") / per))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = d.groupBy("_b").agg(F.sum(F.col("_n") + 1).alias("_s")).withColumn("_r", F.floor(F.col("_b") / per))
+    ranges = buckets.groupBy("_r").agg(F.sum("_s").alias("_s"))  # a row for a million ids
+    ranges = ranges.select("_r", before("_s", Window.partitionBy(F.lit(0)).orderBy("_r")).alias("_first"))
+    buckets = buckets.select("_b", "_r", before("_s", Window.partitionBy("_r").orderBy("_b")).alias("_before")).join(ranges, "_r")
+    inside = before(F.col("_n") + 1, Window.partitionBy("_b").orderBy("segment_id"))
+    start = F.col("_first") + F.col("_before") + F.col("_inside")
+    return d.withColumn("_inside", inside).join(buckets, "_b").select("segment_id", start.alias("start"), (start + F.col("_n")).alias("stop"))
 
 
 def header_matches(lines: DataFrame, keywords: DataFrame) -> DataFrame:

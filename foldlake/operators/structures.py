@@ -140,13 +140,16 @@ def splice(template: DataFrame, segment: DataFrame, start: int, stop: int, chain
 
 
 def merge_ensembles(parts: list[DataFrame], prefix: str, key: str) -> DataFrame:
-    """All parts in one, with running names: stable by part and key. Numbers are counted within parts of the key's range,
-    so that no single task sees all rows."""
+    """All parts in one, with running names: stable by part and key. Numbers are counted in two levels: of buckets of 1,000
+    keys within ranges of a thousand buckets, and of those ranges, so that no single task sees all rows or all buckets."""
     every = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
-    ids = every.select("_part", key).distinct().withColumn("_bucket", F.floor(F.col(key) / 1000))
-    sizes = ids.groupBy("_part", "_bucket").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part", "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("_before", before).drop("count")
-    n = F.col("_before") + F.row_number().over(Window.partitionBy("_part", "_bucket").orderBy(key))
-    named = ids.join(offsets, ["_part", "_bucket"]).withColumn("name", F.concat(F.lit(prefix + "_"), n.cast("string"))).drop("_bucket", "_before")
+    ids = every.select("_part", key).distinct().withColumn("_bucket", F.floor(F.col(key) / 1000)).withColumn("_range", F.floor(F.col("_bucket") / 1000))
+    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ids.groupBy("_part", "_range").count()  # a row for a million keys
+    ranges = ranges.withColumn("_first", before(Window.partitionBy(F.lit(0)).orderBy("_part", "_range"))).drop("count")
+    sizes = ids.groupBy("_part", "_range", "_bucket").count()
+    sizes = sizes.withColumn("_before", before(Window.partitionBy("_part", "_range").orderBy("_bucket"))).drop("count")
+    n = F.col("_first") + F.col("_before") + F.row_number().over(Window.partitionBy("_part", "_range", "_bucket").orderBy(key))
+    named = ids.join(sizes, ["_part", "_range", "_bucket"]).join(ranges, ["_part", "_range"])
+    named = named.withColumn("name", F.concat(F.lit(prefix + "_"), n.cast("string"))).select("_part", key, "name")
     return every.join(named, ["_part", key]).drop("_part")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import residues as R
 from ..operators import backbone as B
+from ..operators.statistics import quantiles
 from . import sql_geometry as S
 from . import views as V
 from .registration import Registry
@@ -122,10 +126,16 @@ def bend_means(spark, d):
 @query("bond_length_stats", V.with_views("atoms", more=f"{_TRACE}, {_BONDS}") + """select bond, res_seq::varchar as res_seq, res_name, count(*) as n, round(avg(length), 4) as mean, round(stddev_pop(length), 4) as std, round(median(length), 4) as median, round(var_pop(length), 4) as var
  from bonds group by grouping sets ((bond, res_seq), (bond), (bond, res_name))""")
 def bond_length_stats(spark, d):
-    b, s, n = F.col("bond"), F.col("res_seq"), F.col("res_name")
-    x = F.col("length")
-    stats = [F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"), F.round(F.median(x), 4).alias("median"), F.round(F.var_pop(x), 4).alias("var")]
-    return B.bond_lengths(V.atoms(spark, d)).groupingSets([[b, s], [b], [b, n]], b, s, n).agg(*stats).withColumn("res_seq", s.cast("string"))
+    b, s, n, x = F.col("bond"), F.col("res_seq"), F.col("res_name"), F.col("length")
+    lengths = B.bond_lengths(V.atoms(spark, d))
+    stats = [F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"), F.round(F.var_pop(x), 4).alias("var")]
+    out = lengths.groupingSets([[b, s], [b], [b, n]], b, s, n).agg(*stats)
+    none = lengths.withColumns({"res_seq": F.lit(None).cast("int"), "res_name": F.lit(None).cast("string")})
+    sets = [lengths.withColumn("res_name", F.lit(None).cast("string")), none, lengths.withColumn("res_seq", F.lit(None).cast("int"))]
+    medians = reduce(DataFrame.unionByName, [quantiles(x, ["bond", "res_seq", "res_name"], "length", {"median": 0.5}) for x in sets])
+    medians = medians.select(F.col("bond").alias("_b"), F.col("res_seq").alias("_s"), F.col("res_name").alias("_n"), F.round("median", 4).alias("median"))
+    out = out.join(medians, (b == F.col("_b")) & s.eqNullSafe(F.col("_s")) & n.eqNullSafe(F.col("_n")))
+    return out.select("bond", s.cast("string").alias("res_seq"), "res_name", "n", "mean", "std", "median", "var")
 
 
 @query("geometry_by_residue", _ALL + "select aa, kind, count(*) as n, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std from (select aa, kind, value from (select aa, cm1_n_ca, n_ca_c, ca_c_np1, ca_c_o, n_ca, ca_c, c_np1, c_o from ge) unpivot (value for kind in (cm1_n_ca, n_ca_c, ca_c_np1, ca_c_o, n_ca, ca_c, c_np1, c_o))) group by all")
@@ -177,6 +187,6 @@ def bond_report(spark, d):
 
 @query("distribution_summary", V.with_views("atoms", more=f"{_TRACE}, {_BONDS}") + "select bond, round(min(length), 4) as low, round(quantile_cont(length, 0.25), 4) as q1, round(median(length), 4) as mid, round(quantile_cont(length, 0.75), 4) as q3, round(max(length), 4) as high from bonds group by bond")
 def distribution_summary(spark, d):
-    q = F.percentile("length", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    s = B.bond_lengths(V.atoms(spark, d)).groupBy("bond").agg(q.alias("q"))
-    return s.select("bond", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("low", "q1", "mid", "q3", "high"))])
+    names = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "high": 1.0}
+    s = quantiles(B.bond_lengths(V.atoms(spark, d)), ["bond"], "length", names)
+    return s.select("bond", *[F.round(n, 4).alias(n) for n in names])

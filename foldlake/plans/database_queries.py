@@ -139,33 +139,57 @@ def splice_segments(spark, d):
     return T.splice(a, seg, 3, 5).select("structure_id", part.alias("part"), "row_idx", "res_new", "serial_new")
 
 
-@query("merge_ensembles", """with p as (select 0 as part, o_custkey as id from orders where o_orderpriority like '1%' union select 1, o_custkey from orders where o_orderpriority like '2%')
+@query("merge_ensembles", """with p as (select distinct left(o_orderpriority, 1)::int - 1 as part, o_custkey as id from orders)
  select part, id, 'conf_' || row_number() over (order by part, id)::varchar as name from p""")
 def merge_ensembles(spark, d):
     o = V.table(spark, d, "orders")
-    parts = [o.filter(F.col("o_orderpriority").startswith(str(i + 1))).select(F.col("o_custkey").alias("id"), F.lit(i).alias("part")).distinct() for i in range(2)]
+    parts = [o.filter(F.col("o_orderpriority").startswith(str(i + 1))).select(F.col("o_custkey").alias("id"), F.lit(i).alias("part")).distinct() for i in range(5)]
     return T.merge_ensembles(parts, "conf", "id").select("part", "id", "name")
 
 
-@query("align_db", V.with_views("segments") + """select segment_id, substr(fasta, 2, length(fasta) - 2) as aa, substr(dssp, 2, length(dssp) - 2) as ss, list_transform(range(length(fasta) - 2), lambda i: i * 2.0) as phi,
- list_transform(range(length(fasta) - 2), lambda i: (i + 1) * 3.0) as psi from segments where length(fasta) > 2 and segment_id % 3 <> 0""")
-def align_db(spark, d):
+def _records(spark, d):
+    """Segments with angles of invented values; every third id has too few omegas."""
     n = F.length("fasta") - 1
     s = V.segments(spark, d).filter(n > 0)
     count = F.sequence(F.lit(0), n - 1)
-    s = s.withColumn("phi", F.transform(count, lambda i: i * 2.0)).withColumn("psi", F.transform(count, lambda i: i * 3.0)).withColumn("omega", F.when(F.col("segment_id") % 3 == 0, F.slice(F.col("phi"), 1, 1)).otherwise(F.col("phi")))
-    return D.align(s).filter("segment_id % 3 <> 0").select("segment_id", "aa", "ss", "phi", "psi")
+    s = s.withColumn("phi", F.transform(count, lambda i: i * 2.0)).withColumn("psi", F.transform(count, lambda i: i * 3.0))
+    return s.withColumn("omega", F.when(F.col("segment_id") % 3 == 0, F.slice(F.col("phi"), 1, 1)).otherwise(F.col("phi")))
+
+
+_ALIGNED = """al as (select segment_id, substr(fasta, 2, length(fasta) - 2) as aa, substr(dssp, 2, length(dssp) - 2) as ss, list_transform(range(length(fasta) - 2), lambda i: i * 2.0) as phi,
+ list_transform(range(length(fasta) - 2), lambda i: (i + 1) * 3.0) as psi from segments where length(fasta) > 2 and segment_id % 3 <> 0)"""
+
+
+@query("align_db", V.with_views("segments", more=_ALIGNED) + "select * from al")
+def align_db(spark, d):
+    return D.align(_records(spark, d)).select("segment_id", "aa", "ss", "phi", "psi")
+
+
+@query("align_db_exact", V.with_views("segments", more=_ALIGNED) + """select segment_id, length(aa)::int as n, (length(aa) * (length(aa) - 1) // 2)::double as bends, length(aa) * 1.5 as lengths from al where segment_id % 5 <> 0""")
+def align_db_exact(spark, d):
+    """Records whose bend angles and bond lengths fit too; every fifth id has one length too many."""
+    inner = F.sequence(F.lit(1), F.length("fasta") - 2)
+    r = _records(spark, d).filter(F.length("fasta") > 2).withColumn("n_ca_c", F.transform(inner, lambda i: i - 1.0))
+    more = F.when(F.col("segment_id") % 5 == 0, F.array(F.lit(1.5))).otherwise(F.array().cast("array<double>"))
+    r = r.withColumn("ca_c", F.concat(F.transform(inner, lambda i: F.lit(1.5)), more))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return D.align(r, ["n_ca_c", "ca_c"]).select("segment_id", F.length("aa").alias("n"), total("n_ca_c").alias("bends"), total("ca_c").alias("lengths"))
+
+
+@query("align_slices", V.with_views("segments", more=_ALIGNED) + """select segment_id, start::bigint as start, (start + n)::bigint as stop from (select segment_id, length(aa) as n, coalesce(sum(length(aa) + 1) over (order by segment_id rows between unbounded preceding and 1 preceding), 0) as start from al)""")
+def align_slices(spark, d):
+    return D.slices(D.align(_records(spark, d)))
 
 
-@query("merge_torsions", "select l.doc_id, quality, toxic, n_chars from labels l join documents d on d.doc_id = l.doc_id where n_chars > 500")
+@query("merge_torsions", "select l.doc_id, quality, toxic, n_chars from labels l join documents d on d.doc_id = l.doc_id")
 def merge_torsions(spark, d):
-    docs = V.table(spark, d, "documents").filter("n_chars > 500").select("doc_id", "n_chars")
+    docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
     return D.merge_records(V.table(spark, d, "labels"), docs, "doc_id")[0]
 
 
-@query("merge_geometry", "select 'left' as side, doc_id from labels where doc_id not in (select doc_id from documents where n_chars > 500) union all select 'right', doc_id from documents where n_chars > 500 and doc_id not in (select doc_id from labels)")
+@query("merge_geometry", "select 'left' as side, doc_id from labels where doc_id not in (select doc_id from documents) union all select 'right', doc_id from documents where doc_id not in (select doc_id from labels)")
 def merge_geometry(spark, d):
-    docs = V.table(spark, d, "documents").filter("n_chars > 500").select("doc_id", "n_chars")
+    docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
     _, left, right = D.merge_records(V.table(spark, d, "labels"), docs, "doc_id")
     return left.select(F.lit("left").alias("side"), "doc_id").unionByName(right.select(F.lit("right").alias("side"), "doc_id"))
 
@@ -270,7 +294,7 @@ def keyword_totals(spark, d):
     return _matches(spark, d).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mask_known", V.with_views("segments", more="m as (select segment_id, length(fasta) as n, unnest(range(length(fasta))) as i, string_split(replace(replace(fasta, 'THE', '***'), 'AND', '***'), '') as l from segments), p as (select *, i - row_number() over (partition by segment_id order by i) as g from m where l[i + 1] <> '*')") +
+@query("mask_known", V.with_views("segments", more="m as (select segment_id, length(fasta) as n, unnest(range(length(fasta))) as i, unnest(string_split(replace(replace(fasta, 'THE', '***'), 'AND', '***'), '')) as c from segments), p as (select *, i - row_number() over (partition by segment_id order by i) as g from m where c <> '*')") +
        "select segment_id, min(i)::int as start, (max(i) + 1)::int as stop, case when min(i) = 0 then 'N' when max(i) + 1 = any_value(n) then 'C' else 'linker' end as kind from p group by segment_id, g")
 def mask_known(spark, d):
     m = D.mask(D.mask(F.col("fasta"), F.lit("THE")), F.lit("AND"))
@@ -327,6 +351,6 @@ _U = "(((({s} * 40503) * 31 + {a} * 2654435761) % 4294967296) * 31 + {b} * 26544
        "select draw, ch.pos::int as pos, ch.k::int as k, ch.kmer, segment_id, start from ch join nu on nu.k = ch.k and nu.kmer = ch.kmer and nu.nth = floor(v * ch.n) + 1 where r = 1")
 def draw_fragments(spark, d):
     draws = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(len(SQ.QUERY_SEQ) - 1))).alias("pos"))
-    index = kmers.explode_kmers(V.segments(spark, d), "fasta", [1, 2, 3], ["segment_id"])
+    index = kmers.explode_kmers(V.segments(spark, d), "fasta", [1, 2, 3], ["segment_id"], kmers.kmer_list(SQ.QUERY_SEQ, [1, 2, 3]))
     sizes = spark.createDataFrame(SIZES, "size int, weight double")
     return sampling.draw_fragments(draws, SQ.QUERY_SEQ, sizes, index, 7)

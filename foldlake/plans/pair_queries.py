@@ -178,7 +178,7 @@ def combine_conformers(spark, d):
     fragments = pairs.trim_tails(a, ["structure_id"], front=True, back=False)
     bad = pairs.clashes_between(fragments, a.withColumn("structure_id", F.col("structure_id") - 1), ["structure_id"], widest=1.7).filter("n > 3")
     bad = bad.select(F.col("structure_id").alias("a"), (F.col("structure_id") + 1).alias("b"))
-    order = (F.col("id0") * F.lit(2654435761) + F.col("id1") * F.lit(40503)) % F.lit(4294967296)
+    order = lambda a, b: (a * F.lit(2654435761) + b * F.lit(40503)) % F.lit(4294967296)
     return pairs.combine([e.filter("label = 0"), e.filter("label = 1")], bad, 500, order)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
+from ..functions import tolerance
 from ..operators import islands, kmers
 from . import views as V
 from .registration import Registry
@@ -59,23 +60,22 @@ def split_chunks(spark, d):
     return s.select("doc_id", "chunk", part.alias("part"), F.concat(last, part).alias("overlapped"))
 
 
-@query("split_ranges", V.with_views("seqs") + """select doc_id, r.k, substr(seq, r.a + 1, least(r.b, length(seq)) - r.a) as part
- from seqs, (values (0, 0, 10), (1, 10, 50), (2, 50, 1000000)) as r(k, a, b) where length(seq) > r.a""")
+@query("split_ranges", V.with_views("seqs") + """select doc_id, r.k, substr(seq, r.a + 1, coalesce(least(r.b, length(seq)), length(seq)) - r.a) as part
+ from seqs, (values (0, 0, 10), (1, 10, 50), (2, 50, null)) as r(k, a, b) where length(seq) > r.a""")
 def split_ranges(spark, d):
-    r = spark.createDataFrame([(0, 0, 10), (1, 10, 50), (2, 50, 1_000_000)], "k int, a int, b int")
+    r = spark.createDataFrame([(0, 0, 10), (1, 10, 50), (2, 50, None)], "k int, a int, b int")  # null: to the end
     s = V.seqs(spark, d).join(F.broadcast(r), F.length("seq") > F.col("a"))
     return s.select("doc_id", "k", F.substring(F.col("seq"), F.col("a") + 1, F.least("b", F.length("seq")) - F.col("a")).alias("part"))
 
 
-@query("trimer_context", V.with_views("segments") + """select segment_id, i::int as pos, substr(fasta, i + 1, 1) as aa,
- case when i = 0 then 'G' else substr(fasta, i, 1) end || case when i + 1 = length(fasta) then 'G' else substr(fasta, i + 2, 1) end as pair,
- case when i + 1 = length(fasta) then '' else substr(fasta, i + 2, 1) end as next_residue from segments, unnest(range(length(fasta))) as t(i)""")
+@query("trimer_context", V.with_views("segments") + """select segment_id, i::int as pos, aa, coalesce(lag(aa) over o, 'G') || coalesce(lead(aa) over o, 'G') as pair, coalesce(lead(aa) over o, '') as next_residue
+ from (select segment_id, unnest(range(length(fasta))) as i, unnest(string_split(fasta, '')) as aa from segments) window o as (partition by segment_id order by i)""")
 def trimer_context(spark, d):
-    s = V.segments(spark, d).select("segment_id", "fasta", F.posexplode(R.letters(F.col("fasta"))).alias("pos", "aa"))
-    at = lambda i: F.substring(F.col("fasta"), i + 1, F.lit(1))
-    last = F.col("pos") + 1 == F.length("fasta")
-    before, after = F.when(F.col("pos") == 0, "G").otherwise(at(F.col("pos") - 1)), F.when(last, "G").otherwise(at(F.col("pos") + 1))
-    return s.select("segment_id", "pos", "aa", F.concat(before, after).alias("pair"), F.when(last, "").otherwise(at(F.col("pos") + 1)).alias("next_residue"))
+    s = V.segments(spark, d).select("segment_id", R.letters(F.col("fasta")).alias("l"))
+    near = lambda i: F.coalesce(F.get("l", i), F.lit("G"))
+    before = lambda i: F.when(i == 0, "G").otherwise(near(i - 1))
+    x = F.transform("l", lambda c, i: F.struct(i.alias("pos"), c.alias("aa"), F.concat(before(i), near(i + 1)).alias("pair"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("next_residue")))
+    return s.select("segment_id", F.explode(x).alias("x")).select("segment_id", "x.*")
 
 
 @query("next_residue", V.with_views("segments") + "select segment_id, i::int as pos, substr(fasta, i + 2, 1) as following from segments, unnest(range(length(fasta) - 1)) as t(i) where length(fasta) > 1")
@@ -151,16 +151,16 @@ def kmer_distinct(spark, d):
     return kmers.distinct_kmers(V.seqs(spark, d), "seq", KS)
 
 
-_PURE_RUNS = _RUNS + ", pr as (select substr(fasta, start + 1, length) as s from runs join segments on segment_id = user_id where c in ('L', 'H'))"
+_PURE_RUNS = """lab as (select segment_id, unnest(range(length(fasta))) as pos, unnest(string_split(fasta, '')) as aa, unnest(string_split(translate(dssp, 'HGETS BIP', 'HHELLLLLL'), '')) as c from segments),
+isl as (select *, pos - row_number() over (partition by segment_id, c order by pos) as g from lab),
+pr as (select string_agg(aa, '' order by pos) as s from isl where c in ('L', 'H') group by segment_id, c, g)"""
 
 
-@query("kmer_hits", V.with_views("ss", "segments", more=_PURE_RUNS + ", " + _qk() + """, h as (select k, substr(s, i + 1, k) as kmer from (select s, unnest(range(length(s))) as i from pr), (select unnest([1, 2, 3]) as k) where i + k <= length(s))""") +
+@query("kmer_hits", V.with_views("segments", more=_PURE_RUNS + ", " + _qk() + """, h as (select k, substr(s, i + 1, k) as kmer from (select s, unnest(range(length(s))) as i from pr), (select unnest([1, 2, 3]) as k) where i + k <= length(s))""") +
        "select q.k::int as k, q.kmer, count(h.kmer) as n from q left join h using (k, kmer) group by q.k, q.kmer")
 def kmer_hits(spark, d):
     """The flagship: hits of a query's k-mers within pure runs of loops or helices."""
-    runs = _runs(spark, d).filter(F.col("c").isin("L", "H")).join(V.segments(spark, d), F.col("user_id") == F.col("segment_id"))
-    runs = runs.select(F.substring(F.col("fasta"), F.col("start") + 1, F.col("length")).alias("s"))
-    return kmers.kmer_hits(runs, "s", kmers.query_kmers(spark, QUERY_SEQ, KS), KS)
+    return kmers.kmer_hits(spark, islands.pure_pieces(_reduced(spark, d), "fasta", "dssp", ["L", "H"]), "s", QUERY_SEQ, KS)
 
 
 @query("sort_hits", REGISTRY.sql["kmer_hits"] + " order by n desc, kmer")
@@ -173,10 +173,12 @@ def db_summary(spark, d):
     return V.seqs(spark, d).filter(F.length("seq") > 0).agg(F.count(F.lit(1)).alias("chains"), F.sum(F.length("seq")).cast("long").alias("residues"))
 
 
-_INDEX = """x as (select segment_id, fasta, dssp, i::int as i, k from (select *, unnest(range(length(fasta))) as i from reduced), (select unnest([1, 2, 3]) as k) where i + k <= length(fasta)),
-h as (select x.*, kmer from x join q on q.k = x.k and q.kmer = substr(fasta, i + 1, x.k)),
-p as (select *, false as followed_by_pro, i + k as stop from h union all select *, true, i + k + 1 from h where substr(fasta, i + k + 1, 1) = 'P'),
-f as (select k::int as k, kmer, followed_by_pro, ss_class, segment_id, i as start, stop::int as stop from p, (values ('L'), ('H'), ('E')) as c(ss_class) where replace(substr(dssp, i + 1, stop - i), ss_class, '') = '')"""
+_INDEX = """ch as (select segment_id, unnest(range(length(fasta))) as i, unnest(string_split(fasta, '')) as a, unnest(string_split(dssp, '')) as s from reduced),
+w as (select segment_id, i::int as i, a || coalesce(lead(a, 1) over o, '') || coalesce(lead(a, 2) over o, '') || coalesce(lead(a, 3) over o, '') as aa,
+ s || coalesce(lead(s, 1) over o, '') || coalesce(lead(s, 2) over o, '') || coalesce(lead(s, 3) over o, '') as ss from ch window o as (partition by segment_id order by i)),
+h as (select w.*, q.k, kmer from w, q where left(aa, q.k) = kmer),
+p as (select *, false as followed_by_pro, i + k as stop from h union all select *, true, i + k + 1 from h where substr(aa, k + 1, 1) = 'P'),
+f as (select k::int as k, kmer, followed_by_pro, ss_class, segment_id, i as start, stop::int as stop from p, (values ('L'), ('H'), ('E')) as c(ss_class) where replace(left(ss, stop - i), ss_class, '') = '')"""
 _REDUCED = "reduced as (select segment_id, fasta, translate(dssp, 'HGETS BIP', 'HHELLLLLL') as dssp from segments)"
 
 
@@ -194,34 +196,33 @@ def csss_index(spark, d):
     return fragment_index(spark, d).groupBy("k", "kmer", "followed_by_pro", "ss_class").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("segment_id") * 1000 + F.col("start")).alias("first"))
 
 
-# Pairs of residues taken as alike, each way.
-ALIKE = [("A", "G"), ("A", "S"), ("D", "E"), ("H", "R"), ("I", "L"), ("N", "T")]
+TOLERANCES = {"close": tolerance.by_score((5, 3, 2)), "every": tolerance.by_score(), "preset": tolerance.PRESETS["idp1"]}
+CLOSE = tolerance.allowed(TOLERANCES["close"], R.AMINO)
 
 
-_OTHERS = ", ".join(f"'{c}': {sorted({c} | {y for x, y in [*ALIKE, *((b, a) for a, b in ALIKE)] if x == c})!r}" for c in R.AMINO)
+def _others(table):
+    return "map {" + ", ".join(f"'{aa}': '{others}'" for aa, others in tolerance.allowed(table, R.AMINO).items()) + "}"
 
 
 @query("tolerance_table", V.with_views("seqs", more="n as (select c as aa, count(*) as n from (select unnest(string_split(seq, '')) as c from seqs) where c <> '' group by c)") +
-       f"select aa, n, array_to_string(map_extract(map {{{_OTHERS}}}, aa)[1], '') as others from n")
+       "select aa, n, " + ", ".join(f"map_extract({_others(t)}, aa)[1] as {name}" for name, t in TOLERANCES.items()) + " from n")
 def tolerance_table(spark, d):
-    counts = V.seqs(spark, d).select(F.explode(R.letters(F.col("seq"))).alias("aa")).groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
-    others = allowed_residues(spark).groupBy("aa").agg(F.array_join(F.array_sort(F.collect_set("other")), "").alias("others"))
-    return counts.join(F.broadcast(others), "aa")
+    """Residues with their substitutes by the matrix's upper columns, by all of them, and by the preset."""
+    out = V.seqs(spark, d).select(F.explode(R.letters(F.col("seq"))).alias("aa")).groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
+    for name, table in TOLERANCES.items():
+        t = tolerance.allowed_table(spark, table, R.AMINO).groupBy("aa").agg(F.array_join(F.array_sort(F.collect_set("other")), "").alias(name))
+        out = out.join(F.broadcast(t), "aa")  # a row for each residue
+    return out
 
 
-def allowed_residues(spark):
-    """(aa, other): what each residue may be replaced by, itself included."""
-    rows = sorted({*ALIKE, *((b, a) for a, b in ALIKE), *((c, c) for c in R.AMINO)})
-    return spark.createDataFrame(rows, "aa string, other string")
+_ALLOWED = "allowed as (select * from (values " + ", ".join(f"('{a}', '{b}')" for a, others in CLOSE.items() for b in others) + ") as t(aa, other))"
 
 
-_ALLOWED = "allowed as (select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in sorted({*ALIKE, *((b, a) for a, b in ALIKE), *((c, c) for c in R.AMINO)})) + ") as t(aa, other))"
-
-
-@query("tolerance_join", V.with_views("segments", more=f"{_ALLOWED}, {_qk(ks=[3])}") + """select q.k::int as k, q.kmer, s.segment_id, s.i::int as start from (select *, unnest(range(length(fasta) - 2)) as i from segments where length(fasta) >= 3) s, q,
- allowed a, allowed b, allowed c where a.aa = substr(q.kmer, 1, 1) and b.aa = substr(q.kmer, 2, 1) and c.aa = substr(q.kmer, 3, 1) and a.other || b.other || c.other = substr(s.fasta, s.i + 1, 3)""")
+@query("tolerance_join", V.with_views("segments", more=f"{_ALLOWED}, {_qk(ks=[3])}" + """, ch as (select segment_id, unnest(range(length(fasta))) as i, unnest(string_split(fasta, '')) as a from segments),
+ w as (select segment_id, i, a || lead(a, 1) over o || lead(a, 2) over o as found from ch window o as (partition by segment_id order by i))""") + """select q.k::int as k, q.kmer, w.segment_id, w.i::int as start from q,
+ allowed a, allowed b, allowed c, w where a.aa = substr(q.kmer, 1, 1) and b.aa = substr(q.kmer, 2, 1) and c.aa = substr(q.kmer, 3, 1) and a.other || b.other || c.other = w.found""")
 def tolerance_join(spark, d):
-    return kmers.tolerant_hits(V.segments(spark, d), kmers.query_kmers(spark, QUERY_SEQ, [3]), allowed_residues(spark), [3])
+    return kmers.tolerant_hits(V.segments(spark, d), kmers.query_kmers(spark, QUERY_SEQ, [3]), tolerance.allowed_table(spark, TOLERANCES["close"], R.AMINO), [3])
 
 
 @query("seed_extend", V.with_views("seqs") + f"""select doc_id as segment_id, qi::int as q_start, ti::int as start, n::int as size, 0 as mismatches

@@ -73,20 +73,22 @@ def scan_format(spark, d):
     return L.detect_format(every)
 
 
-_BROKEN = "pr as (select segment_id, i, substr(fasta, i + 1, 1) as aa, substr(dssp, i + 1, 1) as ss, i // 10 as part from (select *, unnest(range(length(fasta))) as i from segments) where i % 10 <> 9)"
+_BROKEN = """pr as (select *, i // 10 as part from (select segment_id, unnest(range(length(fasta))) as i, unnest(string_split(fasta, '')) as aa, unnest(string_split(dssp, '')) as ss from segments) where i % 10 <> 9)"""
 
 
 def report_lines(spark, d):
     """A structure report for each segment, broken at every tenth residue."""
-    s = V.segments(spark, d).select(F.col("segment_id").cast("string").alias("source"), F.posexplode(R.letters(F.col("fasta"))).alias("i", "aa"), "dssp")
+    both = F.arrays_zip(R.letters(F.col("fasta")).alias("aa"), F.split("dssp", "").alias("ss"))
+    s = V.segments(spark, d).select(F.col("segment_id").cast("string").alias("source"), F.posexplode(both).alias("i", "x")).select("source", "i", "x.aa", "x.ss")
     aa = F.when(F.col("i") % 10 == 9, "!").otherwise(F.col("aa"))
-    body = s.select("source", (F.col("i") + 2).alias("line_no"), F.format_string("%5d %4d A %s  %s", F.col("i") + 1, F.col("i") + 1, aa, F.substring(F.col("dssp"), F.col("i") + 1, F.lit(1))).alias("line"))
+    number = F.col("i") % 9999 + 1  # four columns
+    body = s.select("source", (F.col("i") + 2).alias("line_no"), F.format_string("%5d %4d A %s  %s", F.col("i") % 99999 + 1, number, aa, F.col("ss")).alias("line"))
     top = F.array(F.struct(F.lit(0).alias("n"), F.lit("title").alias("l")), F.struct(F.lit(1).alias("n"), F.lit("  #  RESIDUE AA STRUCTURE").alias("l")))
     head = s.select("source").distinct().select("source", F.explode(top).alias("f")).select("source", F.col("f.n").alias("line_no"), F.col("f.l").alias("line"))
     return body.unionByName(head)
 
 
-@query("scan_dssp", V.with_views("segments", more=_BROKEN) + "select segment_id::varchar as source, part::int as seg_no, string_agg(aa, '' order by i) as fasta, string_agg(ss, '' order by i) as dssp, string_agg((i + 1)::varchar, ',' order by i) as resids from pr group by segment_id, part")
+@query("scan_dssp", V.with_views("segments", more=_BROKEN) + "select segment_id::varchar as source, part::int as seg_no, string_agg(aa, '' order by i) as fasta, string_agg(ss, '' order by i) as dssp, string_agg((i % 9999 + 1)::varchar, ',' order by i) as resids from pr group by segment_id, part")
 def scan_dssp(spark, d):
     return reports.scan_dssp(report_lines(spark, d))[0]
 

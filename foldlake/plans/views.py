@@ -43,10 +43,13 @@ def ss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's labels as structure, with as many residues of the document with that id; shorter documents fall out."""
+    """Every residue of every document; as structure the labels of the user with that id, over and over along the whole
+    sequence, blank where there is no such user."""
     labels = ss(spark, sf_dir).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ss"))), lambda x: x["ss"]), "").alias("dssp"))
-    s = labels.join(seqs(spark, sf_dir), F.col("user_id") == F.col("doc_id")).filter(F.length("seq") >= F.length("dssp"))
-    return s.select(F.col("user_id").alias("segment_id"), F.substring(F.col("seq"), F.lit(1), F.length("dssp")).alias("fasta"), "dssp")
+    s = seqs(spark, sf_dir).filter(F.length("seq") > 0).join(labels, F.col("user_id") == F.col("doc_id"), "left")
+    n, label = F.length("seq"), F.coalesce(F.nullif("dssp", F.lit("")), F.lit(" "))
+    dssp = F.left(F.repeat(label, F.ceil(n / F.length(label)).cast("int")), n)
+    return s.select(F.col("doc_id").alias("segment_id"), F.col("seq").alias("fasta"), dssp.alias("dssp"))
 
 
 _THREE = ", ".join(f"'{ONE_TO_THREE[a] if a != 'H' else 'HIS'}'" for a in AMINO)
@@ -58,8 +61,9 @@ SQL = {
   from embeddings, (select unnest(range(21)) as p)""",
     "ss": "select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos, case event_type "
     + " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_SS.items()) + " end as ss from events",
-    "segments": """select user_id as segment_id, left(seq, length(dssp)) as fasta, dssp from (select user_id, string_agg(ss, '' order by pos) as dssp from ss group by user_id)
-  join seqs on user_id = doc_id where length(seq) >= length(dssp)""",
+    "segments": """select doc_id as segment_id, seq as fasta, left(repeat(label, (length(seq) // length(label) + 1)::int), length(seq)) as dssp
+  from (select doc_id, seq, coalesce(dssp, ' ') as label from seqs left join (select user_id, string_agg(ss, '' order by pos) as dssp from ss group by user_id)
+  on user_id = doc_id where length(seq) > 0)""",
 }
 NEEDS = {"segments": ("seqs", "ss")}
 

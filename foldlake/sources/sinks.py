@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path for a new table in the cluster's shared folder; in a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-foldlake-")
+    """A path for a new table in the cluster's shared folder; where none is set, in a temporary one if the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-foldlake-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,8 +29,8 @@ def write_database(records: DataFrame, path: str) -> None:
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
-    """k-mer counts as one folder of CSV for each size, by falling count."""
-    counts.repartition(F.col("k")).sortWithinPartitions("k", F.desc("n"), "kmer").write.partitionBy("k").option("header", True).csv(path)
+    """k-mer counts as one folder of CSV for each size, by falling count: its files follow each other by name."""
+    counts.repartitionByRange(F.col("k"), F.desc("n"), F.col("kmer")).sortWithinPartitions("k", F.desc("n"), "kmer").write.partitionBy("k").option("header", True).csv(path)
 
 
 def count_lines(counts: DataFrame) -> DataFrame:
