@@ -190,14 +190,20 @@ def _differ(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(MAP_BITS // 64)), F.lit(0))
 
 
-def _candidates(pairs: DataFrame, info: DataFrame, t: Threshold) -> DataFrame:
-    """Written table of the pairs (a, b) that the second and third order, sizes and bit maps leave."""
+def _candidates(pairs: DataFrame, info: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """Written table of the pairs (a, b) that sizes, bit maps, and the second and third order leave. Prefixes are wide, so
+    they are fetched only for what the narrow filters leave."""
     for side in ("a", "b"):
-        pairs = pairs.join(info.select(F.col("row").alias(side), F.struct("n", "map", "o2", "o3").alias(f"_{side}")), side)
+        pairs = pairs.join(info.select(F.col("row").alias(side), F.struct("n", "map").alias(f"_{side}")), side)
     x, y = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
     may = t.sizes(x("n"), y("n")) & t.differ(x("n"), y("n"), _differ(x("map"), y("map")))
-    meet = F.arrays_overlap(x("o2"), y("o2")) & F.arrays_overlap(x("o3"), y("o3"))
-    return cut(pairs.filter(may).filter(meet).select("a", "b"), "candidates")
+    pairs = cut(pairs.filter(may).select("a", "b"), "alike")
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
+    wide = sets.select("row", F.struct("o2", "o3").alias("o")).join(small(ends, ROWS), "row", "left_semi")
+    for side in ("a", "b"):
+        pairs = pairs.join(wide.withColumnsRenamed({"row": side, "o": f"_{side}"}), side)
+    meet = F.arrays_overlap("_a.o2", "_b.o2") & F.arrays_overlap("_a.o3", "_b.o3")
+    return cut(pairs.filter(meet).select("a", "b"), "candidates")
 
 
 @dataclass
@@ -285,10 +291,12 @@ def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     tokens = classes.select("row", "n", F.explode(F.arrays_zip("h", "at")).alias("x")).select("row", "n", "x.h", "x.at")
     often = cut(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("pivot")).filter("k > 1"), "often")
     shared = cut(tokens.join(small(often, ROWS), "h"), "shared")
-    info = cut(classes.select("row", "n", "map", "o2", "o3").join(shared.select("row").distinct(), "row", "left_semi"), "info")
+    info = cut(classes.select("row", "n", "map").join(shared.select("row").distinct(), "row", "left_semi"), "info")
 
-    tried = shared.filter("row <> pivot").select(*_pairs(F.col("row"), F.col("pivot"))).distinct()
-    links = _verified(_candidates(tried, info, t), whole, t)
+    near = t.sizes(F.col("n"), F.col("p.n")) & t.places(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"))
+    pivots = shared.filter("row = pivot").select("h", F.struct("row", "n", "at").alias("p"))
+    tried = shared.filter("row <> pivot").join(pivots, "h").filter(near).select(*_pairs(F.col("row"), F.col("p.row"))).distinct()
+    links = _verified(_candidates(tried, info, sets, t), whole, t)
     shared, before = shared.drop("pivot"), None
     while True:
         grouped = _grouped(shared, components(links))
@@ -298,11 +306,11 @@ def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
         if left <= LEFT * rows or (before is not None and 2 * left > before):  # another pivot would not help much
             break
         before = left
-        other = grouped.filter("g <> main").groupBy("h").agg(F.min("row").alias("pivot"), F.min_by("g", "row").alias("pg"))
-        star = grouped.join(other, "h").filter("g <> pg").select(*_pairs(F.col("row"), F.col("pivot"))).distinct()
+        other = grouped.filter("g <> main").groupBy("h").agg(F.min(F.struct("row", "n", "at", "g")).alias("p"))
+        star = grouped.join(other, "h").filter((F.col("g") != F.col("p.g")) & near).select(*_pairs(F.col("row"), F.col("p.row"))).distinct()
         star = cut(star.join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
-        links = links.unionByName(_verified(_candidates(star, info, t), whole, t))
+        links = links.unionByName(_verified(_candidates(star, info, sets, t), whole, t))
     if not left:
         return links
 
@@ -315,7 +323,7 @@ def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     may = t.sizes(x("n"), y("n")) & t.places(x("n"), x("at"), y("n"), y("at")) & t.differ(x("n"), y("n"), _differ(x("map"), y("map")))
     rest = a.join(b, ["h", "block"]).filter((x("g") != y("g")) & (F.col("in_main") | (x("row") < y("row"))) & may)
     rest = cut(rest.select(*_pairs(x("row"), y("row"))).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(_verified(_candidates(rest, info, t), whole, t))
+    return links.unionByName(_verified(_candidates(rest, info, sets, t), whole, t))
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
