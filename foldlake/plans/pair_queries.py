@@ -170,6 +170,22 @@ def closure_join(spark, d):
     return pairs.closures(r, r, bond=(1.0, 1.8), ca_c_n=(1.2, 2.4), reach=(1.5, 3.0), omega=1.5)
 
 
+_CLOSED = f"""fo as (select a.id as left_id, b.id as right_id, a.res_seq from re a join re b on a.res_seq = b.res_seq
+ where {S.distance(S.p('a.c_'), S.p('b.n_'))} between 1.32 and 1.56 and {S.angle(S.p('a.ca_'), S.p('a.c_'), S.p('b.n_'))} between 1.91 and 2.15 and {S.distance(S.p('a.c_'), S.p('b.ca_'))} between 2.2 and 2.7 and abs({S.dihedral(S.p('a.ca_'), S.p('a.c_'), S.p('b.n_'), S.p('b.ca_'))}) >= 2.61)"""
+
+
+_BAD = f"""bad as (select left_id, right_id, fo.res_seq as place from fo join ra a on a.structure_id = left_id and a.res_seq <= fo.res_seq join ra b on b.structure_id = right_id and b.res_seq > fo.res_seq
+ where {S.distance(A, B)} < a.radius + b.radius + 0.4 group by all having count(*) > 12)"""
+
+
+@query("closure_clashes", V.with_views("atoms", more=f"{_RESIDUE}, {_RAD}, {_CLOSED}, {_BAD}") + "select left_id, right_id, res_seq from fo where (left_id, right_id, res_seq) not in (select left_id, right_id, place from bad)")
+def closure_clashes(spark, d):
+    """Closures within the usual bounds whose halves clash twelve times at most."""
+    a = _radii(spark, d)
+    r = backbone.residues(V.atoms(spark, d), ["N", "CA", "C"]).withColumnRenamed("structure_id", "id")
+    return pairs.closures_without_clashes(pairs.closures(r, r), a, a, most=12, widest=1.7)
+
+
 @query("combine_conformers", V.with_views("atoms", more=f"{_RAD}, cb as ({_BETWEEN})") + """select a.vec_id as id0, b.vec_id as id1 from (select vec_id from embeddings where label = 0) a, (select vec_id from embeddings where label = 1) b
  where not exists (select 1 from cb where n > 3 and structure_id = a.vec_id and structure_id + 1 = b.vec_id) order by (a.vec_id * 2654435761 + b.vec_id * 40503) % 4294967296, 1, 2 limit 500""")
 def combine_conformers(spark, d):
