@@ -44,9 +44,7 @@ from .decontaminate import MIX, Words
 TABLE = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if chr(b) in UPPER else b for b in range(256))
 MAP_BITS = 256
 #: Tables of counts, one for each order; cells of a table; parts that a table is summed in.
-ORDERS, CELL_BITS, PARTS = 3, 22, 64
-#: Tokens that a task counts at once.
-COUNTED = 1 << 21
+ORDERS, CELL_BITS, PARTS = 3, 21, 32
 #: Rows up to which the classes' representatives, and a table of (token, pivot), are broadcast.
 ROWS = 1_000_000
 #: Comparisons left, as a multiple of the rows in buckets, up to which buckets take no further pivot.
@@ -113,21 +111,11 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     width = (1 << CELL_BITS) // PARTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, held, size = np.zeros((ORDERS, 1 << CELL_BITS), "u4"), [], 0
-
-        def add() -> None:
-            for k in range(ORDERS):
-                table[k] += np.bincount(_cells(np.concatenate(held), k), minlength=1 << CELL_BITS).astype("u4")
-
+        table = np.zeros((ORDERS, 1 << CELL_BITS), "u4")
         for batch in batches:
-            for text in batch["text"]:
-                held.append(shingles(text, n))
-                size += len(held[-1])
-                if size >= COUNTED:
-                    add()
-                    held, size = [], 0
-        if size:
-            add()
+            tokens = np.concatenate([shingles(text, n) for text in batch["text"]] or [np.zeros(0, "u8")])
+            for k in range(ORDERS):
+                np.add.at(table[k], _cells(tokens, k), np.uint32(1))
         for k in range(ORDERS):
             out = []
             for part in range(PARTS):
