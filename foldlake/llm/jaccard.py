@@ -3,7 +3,7 @@
 Documents with equal n-gram sets form a class; the join works on classes, each named by the row of one of its members.
 Two classes whose similarity reaches the threshold share a token among the first ``p = n - ceil(threshold * n) + 1`` of
 each, under any order of all tokens. Three orders are used, each rare-first over all tokens of the corpus: under order k
-tokens stand by the count of their cell in table k, then by hash. The tables have ``CELLS`` cells each, whatever the
+tokens stand by the count of their cell in table k, then by hash. The tables have 2 ** CELL_BITS cells each, whatever the
 input, so they may be broadcast; they count every token of every document, in cells that differ from table to table.
 Tokens that share a cell only blur an order, which stays one and the same for all classes.
 
@@ -139,7 +139,7 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "k int, part int, cells binary, times binary")
     parts = counted.repartition("k", "part").mapInPandas(add_up, "k int, part int, logs binary")
     out = np.zeros((ORDERS, 1 << CELL_BITS), "u2")
-    for r in parts.collect():  # at most ORDERS * PARTS rows, ORDERS * CELLS * 2 bytes together
+    for r in parts.collect():  # at most ORDERS * PARTS rows, 2 bytes a cell
         out[r["k"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["logs"], "<u2")
     return out
 
