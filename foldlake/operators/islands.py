@@ -16,19 +16,6 @@ def label_runs(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFram
     return out.withColumn("length", F.col("stop") - F.col("start")).drop("_run")
 
 
-def pure_pieces(df: DataFrame, text: str, label: str, classes: list[str]) -> DataFrame:
-    """s: the text of each run of one label, of the labels in ``classes``; both columns are strings of like length. In time
-    linear in the length, without a row for each place."""
-    rows = df.select(F.filter(F.split(text, ""), lambda c: c != "").alias("_t"), F.split(label, "").alias("_l"))
-
-    def mark(c: Column, i: Column) -> Column:
-        here = F.get("_l", i)
-        return F.when(~here.isin(classes), "|").when((i > 0) & (F.get("_l", i - 1) != here), F.concat(F.lit("|"), c)).otherwise(c)
-
-    pieces = F.split(F.array_join(F.transform("_t", mark), ""), r"\|+")
-    return rows.select(F.explode(F.filter(pieces, lambda s: s != "")).alias("s"))
-
-
 def int_runs(df: DataFrame, keys: list[str], value: str, tolerance: int = 1) -> DataFrame:
     """keys, first, last (exclusive), n of each run of integers whose gaps are at most ``tolerance``."""
     w = Window.partitionBy(*keys).orderBy(value)

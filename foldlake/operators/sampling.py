@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from . import kmer_index
+from .broadcasts import checked
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -45,27 +46,22 @@ def merge_probabilities(base: DataFrame, over: DataFrame) -> DataFrame:
     return b.join(over, ["res_id", "ss"], "full_outer").select("res_id", "ss", F.coalesce("prob", "_b").alias("prob"))
 
 
-def draw_fragments(draws: DataFrame, seq: str, sizes: DataFrame, index: DataFrame, seed: int) -> DataFrame:
+def draw_fragments(draws: DataFrame, seq: str, sizes: DataFrame, index: kmer_index.KmerIndex, seed: int) -> DataFrame:
     """draw, pos, k, kmer, segment_id, start for each (draw, pos): a size by weight, cut at the sequence's end; if nothing
-    is found, the next shorter size that has hits; among hits one at random. Hits are (k, kmer, segment_id, start).
+    is found, the next shorter size that has hits; among hits one at random, by its rank in the index.
 
-    Hits are counted by k-mer and numbered within it, bucket by bucket, so that a frequent k-mer is no single task's; a
-    draw picks a number and meets that hit alone.
+    The index is read once for the numbers of places, and once for the blocks that drawn ranks fall into.
     """
+    spark = draws.sparkSession
     total = F.sum("weight").over(Window.partitionBy(F.lit(0)))
     high = F.sum("weight").over(Window.partitionBy(F.lit(0)).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)) / total
-    s = sizes.select("size", (high - F.col("weight") / total).alias("lo"), high.alias("hi"))  # a few sizes
-    d = draws.withColumn("_u", uniform(seed, F.col("draw"), F.col("pos"))).join(F.broadcast(s), (F.col("_u") >= F.col("lo") - 1e-12) & (F.col("_u") < F.col("hi") - 1e-12))
+    s = checked(sizes.select("size", (high - F.col("weight") / total).alias("lo"), high.alias("hi")))  # a few sizes
+    d = draws.withColumn("_u", uniform(seed, F.col("draw"), F.col("pos"))).join(s, (F.col("_u") >= F.col("lo") - 1e-12) & (F.col("_u") < F.col("hi") - 1e-12))
     d = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("size"), F.lit(len(seq)) - F.col("pos")))))
-    d = d.withColumn("kmer", F.substring(F.lit(seq), F.col("pos") + 1, F.col("k")))
-    counts = index.groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    d = d.withColumn("kmer", F.substring(F.lit(seq), F.col("pos") + 1, F.col("k"))).withColumn("code", F.conv(F.hex("kmer"), 16, 10).cast("long"))
+    kmers = sorted({seq[i : i + k] for k in index.ks for i in range(len(seq) - k + 1)})
+    counts = index.blocks(spark, kmers).groupBy("k", "code").agg(F.sum("n").alias("n"))
     longest = F.row_number().over(Window.partitionBy("draw", "pos").orderBy(F.desc("k")))
-    d = d.join(counts, ["k", "kmer"]).withColumn("_r", longest).filter("_r = 1")
-    d = d.withColumn("nth", (F.floor(uniform(seed + 1, F.col("pos"), F.col("draw")) * F.col("n")) + 1).cast("int"))
-    wanted = index.join(d.select("k", "kmer").distinct(), ["k", "kmer"], "left_semi").withColumn("_b", F.pmod("segment_id", F.lit(BUCKETS)))
-    sizes_ = wanted.groupBy("k", "kmer", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy("k", "kmer").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("k", "kmer", "_b").orderBy("segment_id", "start"))
-    numbered = wanted.withColumn("_i", within).join(sizes_.withColumn("_o", before).drop("_c"), ["k", "kmer", "_b"])
-    numbered = numbered.withColumn("nth", (F.col("_o") + F.col("_i")).cast("int")).drop("_b", "_i", "_o")
-    return d.join(numbered, ["k", "kmer", "nth"]).select("draw", "pos", "k", "kmer", "segment_id", "start")
+    d = d.join(checked(counts), ["k", "code"]).withColumn("_r", longest).filter("_r = 1")
+    d = d.select("draw", "pos", "k", "kmer", "code", (F.floor(uniform(seed + 1, F.col("pos"), F.col("draw")) * F.col("n")) + 1).alias("nth"))
+    return kmer_index.select(index, d, kmers).select("draw", "pos", "k", "kmer", "segment_id", "start")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..operators import database as D
-from ..operators import islands, kmers, sampling
+from ..operators import islands, kmer_index, sampling
 from ..operators import structures as T
 from . import backbone_queries as BQ
 from . import sequence_queries as SQ
@@ -351,6 +351,6 @@ _U = "(((({s} * 40503) * 31 + {a} * 2654435761) % 4294967296) * 31 + {b} * 26544
        "select draw, ch.pos::int as pos, ch.k::int as k, ch.kmer, segment_id, start from ch join nu on nu.k = ch.k and nu.kmer = ch.kmer and nu.nth = floor(v * ch.n) + 1 where r = 1")
 def draw_fragments(spark, d):
     draws = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(len(SQ.QUERY_SEQ) - 1))).alias("pos"))
-    index = kmers.explode_kmers(V.segments(spark, d), "fasta", [1, 2, 3], ["segment_id"], kmers.kmer_list(SQ.QUERY_SEQ, [1, 2, 3]))
+    index = kmer_index.build(V.segments(spark, d), [1, 2, 3], label=None, order=[F.pmod("segment_id", F.lit(64)), F.col("segment_id")])
     sizes = spark.createDataFrame(SIZES, "size int, weight double")
     return sampling.draw_fragments(draws, SQ.QUERY_SEQ, sizes, index, 7)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..functions import tolerance
-from ..operators import islands, kmers
+from ..operators import islands, kmer_index, kmers
 from . import views as V
 from .registration import Registry
 
@@ -142,8 +142,7 @@ _PURE = "regexp_full_match(translate(dssp, 'HGETS BIP', 'HHELLLLLL'), '[L]+|[HE]
 
 @query("pure_class_filter", V.with_views("segments", more="w as (select segment_id, o::int as start, substr(dssp, o + 1, 3) as dssp from (select *, unnest(range(length(dssp) - 2)) as o from segments where length(dssp) >= 3))") + f"select segment_id, start from w where {_PURE}")
 def pure_class_filter(spark, d):
-    w = kmers.explode_kmers(V.segments(spark, d), "dssp", [3], ["segment_id"])
-    return w.filter(kmers.pure(R.reduce_ss(F.col("kmer")), ["L", "HE"])).select("segment_id", "start")
+    return kmers.pure_windows(_reduced(spark, d), "segment_id", "dssp", 3, ["L", "HE"])
 
 
 @query("kmer_distinct", V.with_views("seqs") + "select k, count(distinct substr(seq, i + 1, k)) as n from (select *, unnest(range(length(seq))) as i from seqs), (select unnest([1, 2, 3]) as k) where i + k <= length(seq) group by k")
@@ -160,7 +159,7 @@ pr as (select string_agg(aa, '' order by pos) as s from isl where c in ('L', 'H'
        "select q.k::int as k, q.kmer, count(h.kmer) as n from q left join h using (k, kmer) group by q.k, q.kmer")
 def kmer_hits(spark, d):
     """The flagship: hits of a query's k-mers within pure runs of loops or helices."""
-    return kmers.kmer_hits(spark, islands.pure_pieces(_reduced(spark, d), "fasta", "dssp", ["L", "H"]), "s", QUERY_SEQ, KS)
+    return kmers.kmer_hits(spark, _reduced(spark, d), "fasta", "dssp", "LH", QUERY_SEQ, KS)
 
 
 @query("sort_hits", REGISTRY.sql["kmer_hits"] + " order by n desc, kmer")
@@ -191,9 +190,21 @@ def fragment_index(spark, d):
     return kmers.fragment_index(_reduced(spark, d), kmers.query_kmers(spark, QUERY_SEQ, KS), KS, ["L", "H", "E"])
 
 
+def stored_index(spark, d):
+    """An index of all segments, written into the shared folder."""
+    return kmer_index.build(_reduced(spark, d), KS, ["L", "H", "E"])
+
+
+@query("fragment_index_stored", REGISTRY.sql["fragment_index"])
+def fragment_index_stored(spark, d):
+    """The same fragments, from a stored index: only the folders and row groups of the query's k-mers are read."""
+    index = stored_index(spark, d)
+    return kmer_index.fragments(kmer_index.places(index.blocks(spark, kmers.kmer_list(QUERY_SEQ, KS)), index), index)
+
+
 @query("csss_index", V.with_views("segments", more=f"{_REDUCED}, {_qk()}, {_INDEX}") + "select k, kmer, followed_by_pro, ss_class, count(*) as n, min(segment_id * 1000 + start) as first from f group by all")
 def csss_index(spark, d):
-    return fragment_index(spark, d).groupBy("k", "kmer", "followed_by_pro", "ss_class").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("segment_id") * 1000 + F.col("start")).alias("first"))
+    return fragment_index_stored(spark, d).groupBy("k", "kmer", "followed_by_pro", "ss_class").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("segment_id") * 1000 + F.col("start")).alias("first"))
 
 
 TOLERANCES = {"close": tolerance.by_score((5, 3, 2)), "every": tolerance.by_score(), "preset": tolerance.PRESETS["idp1"]}

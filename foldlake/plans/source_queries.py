@@ -197,8 +197,7 @@ def sink_csss(spark, d):
 @query("sink_stats_csv", V.with_views("segments", more="x as (select k, substr(fasta, i + 1, k) as kmer from (select *, unnest(range(length(fasta))) as i from segments), (select unnest([1, 2, 3]) as k) where i + k <= length(fasta)), n as (select k, kmer, count(*) as n from x group by all)") +
        "select k::int as k, string_agg(kmer || ',' || n::varchar, chr(10) order by n desc, kmer) as lines from n group by k")
 def sink_stats_csv(spark, d):
-    counts = kmers.explode_kmers(V.segments(spark, d), "fasta", SQ.KS, []).groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    return sinks.count_lines(counts)
+    return sinks.count_lines(kmers.kmer_counts(V.segments(spark, d), "fasta", SQ.KS))
 
 
 def tar_archives(spark, d):
