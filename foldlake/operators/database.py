@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import best_match as best_match
+
+#: Keywords of one search.
+KEYWORDS = 10_000
+
 
 def merge_records(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merged, only left, only right): rows of both sides by key, and the keys that one side lacks."""
@@ -58,29 +59,12 @@ def header_matches(lines: DataFrame, keywords: DataFrame) -> DataFrame:
     low = F.lower("line")
     end = lines.withColumn("_low", low).groupBy("source").agg(F.min(F.when(F.col("_low").contains("expdta"), F.col("line_no"))).alias("end"), F.min_by("_low", "line_no").alias("first"))
     head = lines.join(end.filter(F.col("first").contains("header")), "source").filter(F.col("line_no") <= F.coalesce("end", F.lit(2**31 - 1)))
+    if keywords.count() > KEYWORDS:  # each meets every line
+        raise ValueError(f"more than {KEYWORDS} keywords")
     hit = head.join(F.broadcast(keywords), F.contains(low, F.lower("keyword")))
     return hit.groupBy("source").agg(F.min_by("keyword", F.struct("line_no", "kw_idx")).alias("keyword"))
 
 
-def similar_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
-    """Adds the matching-blocks ratio of two strings."""
-
-    @F.pandas_udf("double")
-    def ratio(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in rows:
-            yield pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return pairs.withColumn(out, ratio(a, b))
-
-
-def best_match(chains: DataFrame, queries: DataFrame) -> DataFrame:
-    """chain, q_idx, ratio: the most similar of a few query sequences (q_idx, query) for each chain (chain, fasta), the
-    first of equal ones; chains equal to their match are left out."""
-    p = similar_ratio(chains.join(F.broadcast(queries)), "fasta", "query")
-    r = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("ratio"), "q_idx"))
-    return p.withColumn("_r", r).filter((F.col("_r") == 1) & (F.col("ratio") < 1)).select("chain", "q_idx", "ratio")
-
-
 def mask(seq: Column, known: Column) -> Column:
     return F.replace(seq, known, F.repeat(F.lit("*"), F.length(known).cast("int")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.residues import ALT_LOCS, ELEMENTS, lookup, one_letter
+from .broadcasts import checked
 
 KEY = "structure_id"
 
@@ -51,7 +52,7 @@ def clean_chains(atoms: DataFrame, requested: DataFrame, ligands: DataFrame, blo
     spelling is not found is taken in another case, exact matches first; blocked pairs and chains of HETATM rows only
     fall out; new serials."""
     a = atoms.filter(F.col("record").isin("ATOM", "HETATM") & F.col("element").isin(*ELEMENTS) & F.coalesce(F.col("alt_loc"), F.lit("")).isin(*ALT_LOCS))
-    a = a.join(F.broadcast(ligands), "res_name", "left_anti")
+    a = a.join(checked(ligands), "res_name", "left_anti")
     have = a.select(KEY, "chain_id").distinct()
     want = requested.join(blocked, [KEY, "chain"], "left_anti")
     match = want.join(have, [KEY]).filter(F.lower("chain") == F.lower("chain_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..operators import database as D
-from ..operators import islands, kmer_index, sampling
+from ..operators import islands, kmer_index, sampling, similarity
 from ..operators import structures as T
 from . import backbone_queries as BQ
 from . import sequence_queries as SQ
@@ -265,10 +265,29 @@ def top1_match(spark, d):
     return islands.first_rows(V.table(spark, d, "orders"), ["o_custkey"], [F.desc(F.col("o_totalprice") * 1000000 - F.col("o_orderkey"))], 1).select("o_custkey", F.col("o_orderkey").alias("best"))
 
 
+MATCHES = [SQ.QUERY_SEQ, "ACDEFGHIKLMNPQRSTVWY"]
+
+
+def _match_queries(spark):
+    return spark.createDataFrame(list(enumerate(MATCHES)), "q_idx int, query string")
+
+
 @query("chain_match")
 def chain_match(spark, d):
-    queries = spark.createDataFrame([(0, SQ.QUERY_SEQ), (1, "ACDEFGHIKLMNPQRSTVWY")], "q_idx int, query string")
-    return D.best_match(V.segments(spark, d).select(F.col("segment_id").alias("chain"), "fasta"), queries)
+    return D.best_match(V.segments(spark, d).select(F.col("segment_id").alias("chain"), "fasta"), _match_queries(spark))
+
+
+# A chain of one letter shares one block with a query, if any: the part of the ratio that SQL can say, with its bound.
+@query("top1_similar", V.with_views("segments", more="""c as (select segment_id as chain, i // 30 as piece, substr(fasta, i + 1, 1) as a, substr(fasta, i + 1, 30) as part from segments, unnest(range(0, length(fasta), 30)) as t(i)),
+ q as (select i - 1 as q_idx, ['""" + "', '".join(MATCHES) + """'][i] as query from unnest(range(1, 3)) as t(i)),
+ r as (select chain, piece, q_idx, 2.0::double * case when contains(query, a) then 1 else 0 end / (1 + length(query)) as ratio from c, q)""") +
+       "select chain, piece, min(q_idx)::int as q_idx, round(any_value(ratio), 6) as ratio from r where (chain, piece, ratio) in (select chain, piece, max(ratio) from r group by chain, piece) group by chain, piece")
+def top1_similar(spark, d):
+    """The most similar query of every thirtieth residue of each chain."""
+    at = F.explode(F.sequence(F.lit(0), F.ceil(F.length("fasta") / 30).cast("long") - 1))
+    s = V.segments(spark, d).select("segment_id", "fasta", at.alias("piece"))
+    s = s.select(F.struct("segment_id", "piece").alias("chain"), F.substring(F.col("fasta"), (F.col("piece") * 30 + 1).cast("int"), F.lit(1)).alias("fasta"))
+    return similarity.most_similar(s, _match_queries(spark)).select("chain.segment_id", "chain.piece", "q_idx", F.round("ratio", 6).alias("ratio")).withColumnRenamed("segment_id", "chain")
 
 
 KEYWORDS = ["enthere", "THE", "and", "of"]
