@@ -109,6 +109,28 @@ def off_bonds(lengths: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return lengths.withColumn("expected", mean).filter(F.abs(F.col("length") - F.col("expected")) > tolerance + 1e-5 * F.abs("expected"))
 
 
+def angle_pairs(torsions: DataFrame, legacy_index: bool = False) -> DataFrame:
+    """structure_id, chain_id, res_seq, phi, psi of each residue that has both. With ``legacy_index`` the angles are paired by their
+    places in the chain's lists instead, the first phi with the first psi; as a chain's first residue has no phi, that is
+    the psi of a residue with the phi of the next one."""
+    kinds = torsions.filter(F.col("kind").isin("phi", "psi"))
+    at = F.col("res_seq")
+    if legacy_index:
+        o = Window.partitionBy(*CHAIN, "kind").orderBy("res_seq")
+        kinds = kinds.withColumn("_at", F.row_number().over(o))
+        first = kinds.groupBy(*CHAIN, "_at").agg(*[F.max(F.when(F.col("kind") == k, F.col("degrees"))).alias(k) for k in ("phi", "psi")], F.max(F.when(F.col("kind") == "psi", at)).alias("res_seq"))
+        out = first.select(*CHAIN, "res_seq", "phi", "psi")
+    else:
+        out = kinds.groupBy(*CHAIN, "res_seq").agg(*[F.max(F.when(F.col("kind") == k, F.col("degrees"))).alias(k) for k in ("phi", "psi")])
+    return out.filter(F.col("phi").isNotNull() & F.col("psi").isNotNull())
+
+
+def chain_records(torsions: DataFrame) -> DataFrame:
+    """structure_id, phi, psi, omega: the angles of each structure as lists, in order of residues."""
+    every = torsions.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("chain_id", "res_seq", "kind", "degrees"))).alias("_t"))
+    return every.select("structure_id", *[F.transform(F.filter("_t", lambda t: t["kind"] == k), lambda t: t["degrees"]).alias(k) for k in ("phi", "psi", "omega")])  # noqa: B023
+
+
 def region(phi: Column, psi: Column) -> Column:
     """Ramachandran region of two angles in degrees; bounds are strict."""
     alpha = (phi > -180) & (phi < 10) & (psi > -120) & (psi < 45)

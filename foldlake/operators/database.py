@@ -16,6 +16,16 @@ def merge_records(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFram
     return left.join(right, key), left.join(right, key, "left_anti").select(key), right.join(left, key, "left_anti").select(key)
 
 
+def merge_tagged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Both sides in one pass: key, side (both, left, right) and the columns of both, null where a side lacks the key. The rows of
+    ``both`` are the merged database, the others the reports of what is dropped. Each side has a key once at most."""
+    a = left.withColumnRenamed(key, "_a").withColumn("_in_a", F.lit(True))
+    b = right.withColumnRenamed(key, "_b").withColumn("_in_b", F.lit(True))
+    j = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
+    side = F.when(F.col("_in_a") & F.col("_in_b"), "both").when(F.col("_in_a"), "left").otherwise("right")
+    return j.select(F.coalesce("_a", "_b").alias(key), side.alias("side"), *[c for c in (*a.columns, *b.columns) if c not in ("_a", "_b", "_in_a", "_in_b")])
+
+
 def new_ids(requested: DataFrame, present: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
     return requested.select(key).distinct().join(present.select(key), key, "left_anti").join(blocked.select(key), key, "left_anti")
 

@@ -33,3 +33,24 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
     share_of = lambda part: F.max(F.when(F.col("part") == part, F.col("share")))
     between = [(value_of(f"{n}_low") + (value_of(f"{n}_high") - value_of(f"{n}_low")) * share_of(f"{n}_low")).alias(n) for n in wanted]
     return sizes.select(*ks, *keys).join(found.groupBy(*ks).agg(*between), ks).select(*keys, *wanted)
+
+
+def multisets(df: DataFrame, keys: list[str], value: str, decimals: int = 4, width: int = 1024) -> DataFrame:
+    """keys, chunk, n, entries: the rounded values of each group as (value, n), in chunks by ranges of ``width`` steps of the
+    last decimal. A chunk holds at most ``width`` entries, however many values it stands for, and chunks of further data
+    merge with it by key and chunk. Nulls are left out."""
+    step = F.round(F.col(value) * 10**decimals).cast("long")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, step.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    return _chunks(counts, keys, decimals, width)
+
+
+def _chunks(counts: DataFrame, keys: list[str], decimals: int, width: int) -> DataFrame:
+    entry = F.struct((F.col("_s") / 10**decimals).alias("value"), F.col("_n").alias("n"))
+    return counts.groupBy(*keys, F.floor(F.col("_s") / width).alias("chunk")).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def merge_multisets(one: DataFrame, two: DataFrame, keys: list[str], decimals: int = 4, width: int = 1024) -> DataFrame:
+    """The multisets of both."""
+    every = one.unionByName(two).select(*keys, F.explode("entries").alias("_e"))
+    counts = every.groupBy(*keys, F.round(F.col("_e.value") * 10**decimals).cast("long").alias("_s")).agg(F.sum("_e.n").alias("_n"))
+    return _chunks(counts, keys, decimals, width)

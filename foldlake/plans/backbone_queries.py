@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import residues as R
 from ..operators import backbone as B
-from ..operators.statistics import quantiles
+from ..operators.statistics import merge_multisets, multisets, quantiles
 from . import sql_geometry as S
 from . import views as V
 from .registration import Registry
@@ -107,6 +107,16 @@ def trimer_library(spark, d):
     return _long(spark, d).groupBy("trimer", "phi_bin", "psi_bin", "kind").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.round("value", 4))).alias("vals"))
 
 
+@query("trimer_library_chunks", _ALL_LONG + ", c as (select trimer, phi_bin, psi_bin, kind, round(value * 10000)::bigint as s, count(*) as n from lg group by all)" +
+       " select trimer, phi_bin, psi_bin, kind, floor(s / 1024)::bigint as chunk, sum(n)::bigint as n, list(s / 10000 order by s) as vals, list(n order by s) as times from c group by trimer, phi_bin, psi_bin, kind, floor(s / 1024)")
+def trimer_library_chunks(spark, d):
+    """The library's values as counted ones, in chunks of bounded length; made of two halves of the structures, merged."""
+    keys, every = ["trimer", "phi_bin", "psi_bin", "kind"], full_atoms(spark, d)
+    halves = [multisets(B.long_geometry(B.bond_geometry(every.filter(F.col("structure_id") % 2 == i)), B.ANGLES), keys, "value") for i in (0, 1)]
+    m = merge_multisets(*halves, keys)
+    return m.select(*keys, "chunk", "n", F.transform("entries", lambda e: e["value"]).alias("vals"), F.transform("entries", lambda e: e["n"]).alias("times"))
+
+
 @query("library_regroup", _ALL_LONG + "select kind, aa, pair, phi_bin, psi_bin, count(*) as n, round(sum(value), 4) as total from lg group by all")
 def library_regroup(spark, d):
     return _long(spark, d).groupBy("kind", "aa", "pair", "phi_bin", "psi_bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -167,6 +177,16 @@ def rama_fraction(spark, d):
     return a.groupBy("res_seq", "region").count().join(total, "res_seq").select("res_seq", "region", F.round(F.col("count") / F.col("total"), 6).alias("fraction"))
 
 
+@query("rama_fraction_legacy", V.with_views("atoms", more=f"{_TRACE}, {_TORS}, n_ as (select *, row_number() over (partition by structure_id, kind order by res_seq) as i from tors where kind <> 'omega')") +
+       """select res_seq, region, count(*) as n from (select p.res_seq, case when f.degrees > -180 and f.degrees < 10 and p.degrees > -120 and p.degrees < 45 then 'alpha'
+ when f.degrees > -180 and f.degrees < 0 and ((p.degrees > -180 and p.degrees < -120) or (p.degrees > 45 and p.degrees < 180)) then 'beta' else 'other' end as region
+ from n_ p join n_ f on p.structure_id = f.structure_id and p.i = f.i and p.kind = 'psi' and f.kind = 'phi') group by res_seq, region""")
+def rama_fraction_legacy(spark, d):
+    """Regions of angles that are paired by their places in the lists."""
+    a = B.angle_pairs(backbone_torsions(spark, d), legacy_index=True).withColumn("region", B.region(F.col("phi"), F.col("psi")))
+    return a.groupBy("res_seq", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ppii_assign", V.with_views("atoms", "ss", more=f"{_TRACE}, {_TORS}, {_ANG}, j as (select structure_id, pos, ss, phi, psi, row_number() over (partition by structure_id order by pos) as rn from ss join an on user_id = structure_id and pos = res_seq)," +
        """f as (select *, coalesce(ss = ' ' and phi between -104 and -46 and psi between 116 and 174 and rn > 1, false) as fits from j),
  g as (select *, lag(fits) over w and lag(pos) over w = pos - 1 as a, lead(fits) over w and lead(pos) over w = pos + 1 as b from f window w as (partition by structure_id order by pos))""") +

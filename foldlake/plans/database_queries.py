@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
+from ..operators import backbone as B
 from ..operators import database as D
 from ..operators import islands, kmer_index, sampling, similarity
 from ..operators import structures as T
@@ -194,6 +195,33 @@ def merge_geometry(spark, d):
     return left.select(F.lit("left").alias("side"), "doc_id").unionByName(right.select(F.lit("right").alias("side"), "doc_id"))
 
 
+_DB = f"db as (select structure_id, string_agg({BQ._ONE}, '' order by res_seq) as fasta from (select distinct structure_id, res_seq, res_name from atoms) where structure_id % 7 <> 3 group by structure_id)"
+
+
+def _database(spark, d):
+    """Sequences of the structures, but for every seventh."""
+    r = V.atoms(spark, d).filter("structure_id % 7 <> 3").groupBy("structure_id", "res_seq").agg(F.min("res_name").alias("res_name"))
+    rows = F.array_sort(F.collect_list(F.struct("res_seq", R.one_letter(F.col("res_name")).alias("aa"))))
+    return r.groupBy("structure_id").agg(F.array_join(F.transform(rows, lambda x: x["aa"]), "").alias("fasta"))
+
+
+@query("merge_torsions_records", V.with_views("atoms", more=f"{BQ._TRACE}, {BQ._TORS}, {_DB}, ta as (select structure_id, list(degrees order by chain_id, res_seq) filter (where kind = 'phi') as phi, list(degrees order by chain_id, res_seq) filter (where kind = 'psi') as psi, list(degrees order by chain_id, res_seq) filter (where kind = 'omega') as omega from tors where structure_id % 5 <> 2 group by structure_id)") +
+       "select coalesce(db.structure_id, ta.structure_id) as structure_id, case when ta.structure_id is null then 'left' when db.structure_id is null then 'right' else 'both' end as side, fasta, phi, psi, omega from db full join ta on db.structure_id = ta.structure_id")
+def merge_torsions_records(spark, d):
+    """Sequences and torsions of structures, either of which some lack: merged rows and both reports in one pass."""
+    t = B.chain_records(BQ.backbone_torsions(spark, d).filter("structure_id % 5 <> 2"))
+    return D.merge_tagged(_database(spark, d), t, "structure_id")
+
+
+@query("merge_geometry_records", BQ._ALL.rstrip() + f", {_DB}, ga as (select structure_id, count(*) as n, " + ", ".join(f"round(sum({k}), 3) + 0.0 as {k}" for k in B.ANGLES + B.LENGTHS) + " from ge where structure_id % 6 <> 1 group by structure_id)" +
+       " select coalesce(db.structure_id, ga.structure_id) as structure_id, case when ga.structure_id is null then 'left' when db.structure_id is null then 'right' else 'both' end as side, coalesce(fasta, '') as fasta, coalesce(n, 0)::bigint as n, " + ", ".join(f"coalesce({k}, 0) as {k}" for k in B.ANGLES + B.LENGTHS) + " from db full join ga on db.structure_id = ga.structure_id")
+def merge_geometry_records(spark, d):
+    """The same with bend angles and bond lengths, summed over a structure."""
+    g = B.bond_geometry(BQ.full_atoms(spark, d)).filter("structure_id % 6 <> 1")
+    g = g.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), *[(F.round(F.sum(k), 3) + 0.0).alias(k) for k in B.ANGLES + B.LENGTHS])
+    return D.merge_tagged(_database(spark, d), g, "structure_id").fillna(0.0, B.ANGLES + B.LENGTHS).fillna(0, ["n"]).fillna("", ["fasta"])
+
+
 @query("new_ids", "select distinct doc_id from documents where doc_id not in (select doc_id from labels) and doc_id not in (select item_id from benchmark)")
 def new_ids(spark, d):
     return D.new_ids(V.table(spark, d, "documents"), V.table(spark, d, "labels"), V.table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id")

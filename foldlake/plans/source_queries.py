@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import residues as R
 from ..operators import kmers
 from ..sources import lines as L
-from ..sources import reports, sinks, structures
+from ..sources import json_objects, packed, reports, sinks, structures
 from . import database_queries as DQ
 from . import sequence_queries as SQ
 from . import views as V
@@ -221,28 +221,89 @@ def scan_tar(spark, d):
     return reports.scan_fasta(L.split_tar_lines(L.untar(tar_archives(spark, d), ".fasta"))).select("source", "sequence")
 
 
-def segment_folder(spark, d):
-    """A folder with a text for each segment."""
-    s = V.segments(spark, d).select("segment_id", F.posexplode(F.array("fasta", F.replace("dssp", F.lit(" "), F.lit("-")))).alias("line_no", "line"))
+def packed_segments(spark, d):
+    """All segments, two lines each, in shards."""
+    s = V.segments(spark, d).select(F.col("segment_id").alias("id"), F.concat_ws("\n", "fasta", F.replace("dssp", F.lit(" "), F.lit("-"))).alias("text"))
     path = sinks.new_folder(spark, "segments")
-    sinks.write_segments(s, path)
+    packed.write_packed(s, path)
     return path
 
 
 @query("sink_segments", V.with_views("segments") + "select segment_id, fasta as line from segments union all select segment_id, replace(dssp, ' ', '-') from segments")
 def sink_segments(spark, d):
-    return spark.read.schema("line string, segment_id bigint").text(segment_folder(spark, d))
+    texts = packed.read_packed(spark, packed_segments(spark, d))
+    return texts.select(F.col("id").cast("long").alias("segment_id"), F.explode(F.split("text", "\n")).alias("line"))
 
 
 @query("scan_existing_ids", V.with_views("segments") + "select segment_id::varchar as id from segments")
 def scan_existing_ids(spark, d):
-    return L.existing_ids(spark, segment_folder(spark, d), "*.txt", "segment_id=([^/]+)/")
+    return packed.offsets(spark, packed_segments(spark, d)).select("id")
 
 
 @query("scan_corpus", V.with_views("segments") + "select segment_id::varchar as id, 1::bigint as files from segments")
 def scan_corpus(spark, d):
-    found, _ = L.resolve(spark, [segment_folder(spark, d)], [], "*.txt")
-    return found.groupBy(F.regexp_extract("path", "segment_id=([^/]+)/", 1).alias("id")).agg(F.count(F.lit(1)).alias("files"))
+    return packed.offsets(spark, packed_segments(spark, d)).groupBy("id").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("scan_corpus_lists", V.with_views("segments") + "select doc_id::varchar as id, length(fasta)::int as n from labels left join segments on segment_id = doc_id where segment_id is not null union all select doc_id::varchar, -1 from labels where doc_id not in (select segment_id from segments) union all select 'missing' || item_id::varchar, -1 from benchmark")
+def scan_corpus_lists(spark, d):
+    """The texts that two list files name, and, with -1, what they name and is not there."""
+    path = packed_segments(spark, d)
+    lists = [sinks.new_folder(spark, "list") for _ in range(2)]
+    V.table(spark, d, "labels").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("value")).write.text(lists[0])
+    V.table(spark, d, "benchmark").select(F.concat(F.lit("missing"), F.col("item_id").cast("string")).alias("value")).write.text(lists[1])
+    found, missing = packed.resolve(spark, path, lists)
+    texts = packed.read_packed(spark, path, found).select("id", F.length(F.substring_index("text", "\n", 1)).alias("n"))
+    return texts.unionByName(missing.select("id", F.lit(-1).alias("n")))
+
+
+@query("sink_db_object", V.with_views("segments") + "select segment_id::varchar as segment_id, fasta, dssp, length(fasta)::int as n from segments")
+def sink_db_object(spark, d):
+    """All segments as one JSON object over several files, read back by ranges of bytes."""
+    s = V.segments(spark, d).select("segment_id", "fasta", "dssp", F.transform(F.sequence(F.lit(1), F.length("fasta")), lambda i: i * 1.0).alias("phi"))
+    path = sinks.new_folder(spark, "database")
+    json_objects.write_object(s, path)
+    found, _ = json_objects.scan_object(spark, path, whole="folder", glob="part-*")
+    return found.select("segment_id", "fasta", "dssp", F.size("phi").alias("n"))
+
+
+@query("sink_database", V.with_views("segments") + "select segment_id, fasta, dssp from segments")
+def sink_database(spark, d):
+    """Records in the native form."""
+    path = sinks.new_folder(spark, "records")
+    sinks.write_database(V.segments(spark, d), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_counts_csv", V.with_views("segments", more="x as (select k, substr(fasta, i + 1, k) as kmer from (select *, unnest(range(length(fasta))) as i from segments), (select unnest([1, 2, 3]) as k) where i + k <= length(fasta))") + "select k::int as k, kmer, count(*) as n from x group by all")
+def sink_counts_csv(spark, d):
+    """Counts as CSV files, a folder for each size."""
+    path = sinks.new_folder(spark, "counts")
+    sinks.write_counts(kmers.kmer_counts(V.segments(spark, d), "fasta", SQ.KS), path)
+    return spark.read.option("header", True).schema("kmer string, n bigint, k int").csv(path)
+
+
+_TERMINALS = """atm as (select p_brand as residue, p_type as type, round(p_retailprice, 2) as charge from part union all select 'N' || p_brand, p_type, round(p_retailprice, 2) + 1 from part where right(p_brand, 1) in ('1', '3')),
+ nb as (select distinct p_type as type, length(p_type) / 10.0 as sigma from part), wa as (select p_partkey, p_brand as residue, ['', 'N', 'C'][p_partkey % 3 + 1] as terminal from part),
+ us as (select *, case when terminal || residue in (select residue from atm) then terminal || residue else residue end as used from wa)"""
+
+
+@query("scan_forcefield_file", f"with {_TERMINALS}, sums as (select residue, count(*) as n, round(sum(charge), 2) as charge, round(sum(sigma), 2) as sigma from atm join nb using (type) group by residue) select p_partkey, used, n, charge, sigma from us join sums on sums.residue = used")
+def scan_forcefield_file(spark, d):
+    """A force-field file with residues, terminal variants of some, and non-bonded values: the atoms of each wanted residue."""
+    p = V.table(spark, d, "part")
+    path = sinks.new_folder(spark, "forcefield")
+    both = F.explode(F.array(F.lit(""), F.lit("N"))).alias("t")
+    atom = F.format_string('<Atom name="A%d" type="%s" charge="%.2f"/>', "p_partkey", "p_type", F.col("p_retailprice") + F.when(F.col("t") == "N", 1).otherwise(0))
+    rows = p.select("*", both).filter((F.col("t") == "") | F.expr("right(p_brand, 1)").isin("1", "3"))
+    rows = rows.groupBy(F.concat("t", "p_brand").alias("r"), (F.col("p_partkey") % 100).alias("g")).agg(F.array_join(F.collect_list(atom), "").alias("a"))
+    values = p.select("p_type").distinct().select(F.format_string('<NonbondedForce><Atom type="%s" sigma="%.1f" epsilon="0.5"/></NonbondedForce>', "p_type", F.length("p_type") / 10).alias("value"))
+    rows.select(F.format_string('<Residue name="%s">%s</Residue>', "r", "a").alias("value")).unionByName(values).write.text(path)
+    atoms, bonded = structures.scan_forcefield(spark, path)
+    wanted = p.select(F.col("p_brand").alias("residue"), F.element_at(F.array(F.lit(""), F.lit("N"), F.lit("C")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("terminal")).distinct()
+    used = structures.terminal_atoms(wanted, atoms.join(bonded, "type")).groupBy("residue", "terminal", "used").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("charge"), 2).alias("charge"), F.round(F.sum("sigma"), 2).alias("sigma"))
+    parts = p.select("p_partkey", F.col("p_brand").alias("residue"), F.element_at(F.array(F.lit(""), F.lit("N"), F.lit("C")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("terminal"))
+    return parts.join(used, ["residue", "terminal"]).select("p_partkey", "used", "n", "charge", "sigma")
 
 
 @query("scan_forcefield", "select p_brand as residue, 'A' || p_partkey::varchar as atom, p_type as type, round(p_retailprice, 2) as charge from part")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import lookup
+from ..operators.broadcasts import checked
 
 # Columns of a coordinate line, as (start, end) from 0, end exclusive.
 PDB_COLUMNS = {
@@ -94,12 +95,22 @@ def parse_residues(texts: DataFrame, column: str = "xml") -> DataFrame:
 
 def scan_forcefield(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """(residue, atom, type, charge) and (type, sigma, epsilon) of an XML force field."""
-    atoms = spark.read.format("xml").option("rowTag", "Residue").schema(ATOM_TYPES).load(path)
+    atoms = spark.read.format("xml").option("useLegacyXMLParser", True).option("rowTag", "Residue").schema(ATOM_TYPES).load(path)
     atoms = atoms.select(F.col("_name").alias("residue"), F.explode("Atom").alias("a")).select("residue", F.col("a._name").alias("atom"), F.col("a._type").alias("type"), F.col("a._charge").alias("charge"))
-    bonded = spark.read.format("xml").option("rowTag", "NonbondedForce").schema("Atom array<struct<_type:string,_sigma:double,_epsilon:double>>").load(path)
+    bonded = spark.read.format("xml").option("useLegacyXMLParser", True).option("rowTag", "NonbondedForce").schema("Atom array<struct<_type:string,_sigma:double,_epsilon:double>>").load(path)
     bonded = bonded.select(F.explode("Atom").alias("a")).select(F.col("a._type").alias("type"), F.col("a._sigma").alias("sigma"), F.col("a._epsilon").alias("epsilon"))
     return atoms, bonded
 
 
+def terminal_atoms(wanted: DataFrame, atoms: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (residue, terminal: '', N or C) with the atoms of the residue's terminal variant, whose name is the
+    letter before the residue's; of the plain residue where the force field has no such variant. ``used`` names it."""
+    known = checked(atoms.select(F.col("residue").alias("_known")).distinct())
+    named = F.concat("terminal", "residue")
+    w = wanted.withColumn("_named", named).join(known, F.col("_named") == F.col("_known"), "left")
+    w = w.withColumn("used", F.coalesce("_known", "residue")).drop("_named", "_known")
+    return w.join(atoms.withColumnRenamed("residue", "used"), "used")
+
+
 def element_radius(element: Column, table: dict[str, float]) -> Column:
     return lookup(element, table, 0.0)
