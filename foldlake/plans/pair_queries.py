@@ -104,11 +104,11 @@ no as (select r, n, row_number() over (order by r, o) as k from (select unnest([
 se as (select distinct x.n as name_a, y.n as name_b, y.r - x.r as step, abs(y.k - x.k) as sep from no x, no y where x.k <> y.k and abs(y.k - x.k) <= 3 and y.r - x.r between 0 and 1)"""
 
 
-@query("expand_bonds", f"with {_GRAPH} select name_a, name_b, step::int as step, min(sep)::int as sep, (select count(*) from labels) as n_labels from se group by all")
+@query("expand_bonds", V.with_views("atoms") + """select a.name as name_a, b.name as name_b, (b.res_seq - a.res_seq)::int as step, min(abs(b.serial - a.serial))::int as sep from atoms a join atoms b on a.structure_id = b.structure_id
+ and a.serial <> b.serial and abs(b.serial - a.serial) <= 3 and b.res_seq - a.res_seq between 0 and 1 group by all""")
 def expand_bonds(spark, d):
-    n = V.table(spark, d, "labels").count()
     g = structure_separations(V.atoms(spark, d)).filter("step between 0 and 1")
-    return g.groupBy("name_a", "name_b", "step").agg(F.min("sep").alias("sep")).withColumn("n_labels", F.lit(n).cast("long"))
+    return g.groupBy("name_a", "name_b", "step").agg(F.min("sep").alias("sep"))
 
 
 _STATE = f"{_RAD}, {_PAIR}, {_GRAPH}, st as (select pa.*, case when sep <= 2 then 'excluded' when sep = 3 then 'scaled' else 'free' end as state from pa left join (select name_a, name_b, step, min(sep) as sep from se group by all) on name_a = na and name_b = nb and step = rb_ - ra_)"

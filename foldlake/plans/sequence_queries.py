@@ -125,7 +125,7 @@ def ss_sandwich(spark, d):
     return r.select("user_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
-@query("class_windows", V.with_views("ss", more=_RUNS) + """select user_id, c, k::int as k, (start + o)::bigint as start, (start + o + k)::bigint as stop from runs, unnest(range(2, 5)) as t(k), unnest(range(0, 200)) as s(o) where o + k <= length""")
+@query("class_windows", V.with_views("ss", more=_RUNS) + """select user_id, c, k::int as k, (start + o)::bigint as start, (start + o + k)::bigint as stop from runs, unnest(range(2, 5)) as t(k), unnest(range(0, length::bigint)) as s(o) where o + k <= length""")
 def class_windows(spark, d):
     r = islands.class_windows(_runs(spark, d), ["user_id"], "c", 2, 4)
     return r.select("user_id", "c", "k", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
@@ -202,9 +202,9 @@ def fragment_index_stored(spark, d):
     return kmer_index.fragments(kmer_index.places(index.blocks(spark, kmers.kmer_list(QUERY_SEQ, KS)), index), index)
 
 
-@query("csss_index", V.with_views("segments", more=f"{_REDUCED}, {_qk()}, {_INDEX}") + "select k, kmer, followed_by_pro, ss_class, count(*) as n, min(segment_id * 1000 + start) as first from f group by all")
+@query("csss_index", V.with_views("segments", more=f"{_REDUCED}, {_qk()}, {_INDEX}") + "select k, kmer, followed_by_pro, ss_class, count(*) as n, min(printf('%012d:%09d', segment_id, start)) as first from f group by all")
 def csss_index(spark, d):
-    return fragment_index_stored(spark, d).groupBy("k", "kmer", "followed_by_pro", "ss_class").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("segment_id") * 1000 + F.col("start")).alias("first"))
+    return fragment_index_stored(spark, d).groupBy("k", "kmer", "followed_by_pro", "ss_class").agg(F.count(F.lit(1)).alias("n"), F.min(F.format_string("%012d:%09d", "segment_id", "start")).alias("first"))
 
 
 TOLERANCES = {"close": tolerance.by_score((5, 3, 2)), "every": tolerance.by_score(), "preset": tolerance.PRESETS["idp1"]}
@@ -243,6 +243,12 @@ def seed_extend(spark, d):
     return kmers.seed_extend(V.seqs(spark, d).select(F.col("doc_id").alias("segment_id"), F.col("seq").alias("fasta")), QUERY_SEQ)
 
 
-@query("seed_extend_mismatch")
+@query("seed_extend_mismatch", V.with_views("segments").replace("with ", "with recursive ", 1).rstrip() + f""",
+ ch as (select segment_id, length(fasta) as n, unnest(range(length(fasta))) as i, unnest(string_split(fasta, '')) as a from segments),
+ w as (select segment_id, i, a || lead(a, 1) over o || lead(a, 2) over o as seed from ch window o as (partition by segment_id order by i)),
+ e as (select w.segment_id, qi as q_start, w.i as start, 3::bigint as size, 0::bigint as mismatches from w, (select unnest(range({len(QUERY_SEQ)} - 2)) as qi) where seed = substr('{QUERY_SEQ}', qi + 1, 3)
+  union all select e.segment_id, q_start, start, size + 1, mismatches + case when a = substr('{QUERY_SEQ}', q_start + size + 1, 1) then 0 else 1 end from e join ch on ch.segment_id = e.segment_id and ch.i = start + size
+  where q_start + size < {len(QUERY_SEQ)} and (a = substr('{QUERY_SEQ}', q_start + size + 1, 1) or ceil(100 * (mismatches + 1)::double / (size + 1)) <= 25))
+ select segment_id, q_start::int as q_start, start::int as start, size::int as size, mismatches::int as mismatches from e""")
 def seed_extend_mismatch(spark, d):
     return kmers.seed_extend(V.segments(spark, d), QUERY_SEQ, max_percent=25)
