@@ -16,6 +16,10 @@ Defined results: null text is empty and has no spans. Positions are code points,
 same result each. Null ids stay null. A corpus in which every document holds an entity discloses nothing about it.
 Texts of any length are read whole; a context is the ``window`` characters on either side of a mention. Words are
 lower-cased one by one, so that places are those of the text as it is.
+
+The time is linear in a text's length and all but linear in what is found in it: places are running sums over blocks of
+pieces, contexts come from the patterns' own look-around, and whether a word overlaps a span is seen from the letters
+beside it, since of all spans only e-mail addresses hold letters, and these are marked in the text once.
 """
 
 from __future__ import annotations
@@ -40,25 +44,63 @@ TERM = r"\p{L}{4,}"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _TERMS = "array<struct<start:int,kind:int,end:int,remove:boolean>>"
 _MATCH = "array<struct<start:int,end:int,m:string>>"
+_MENTIONS = "array<struct<entity:string,ctx:bigint,terms:array<struct<term:string,start:int,end:int>>>>"
+#: Pieces of a text whose places are summed up together.
+BLOCK = 64
+#: Stands for a letter of an e-mail address (a private-use character), and for itself where the text has it.
+MARK, OWN = "\uE000", "\uE001"
+#: A term none of whose letters is an address's.
+FREE = rf"(?<![\p{{L}}{MARK}])\p{{L}}{{4,}}+(?!{MARK})"
 
 
 def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with ``value`` worked out once however often ``body`` names it, in functions over arrays too."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks_of(array: Column) -> Column:
+    """An array in blocks of BLOCK elements."""
+    def cut_up(a: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK))), lambda block: F.size(block) > 0)
+
+    return let(array, cut_up)
+
+
+def placed(gaps: Column, found: Column, make, kind: str) -> Column:
+    """make(start, end, m) of each piece ``found``, of which each follows a gap; null ones fall out. Places are running sums: over
+    blocks of BLOCK pieces, then within each, so that no array grows by one element for each piece of the text."""
+    pieces = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,block:array<struct<gap:int,size:int,m:string>>>>").alias("out"))
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + p["size"])
+
+    def after(acc, b):
+        return F.struct((acc["at"] + total(b)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("at"), b.alias("block"))).alias("out"))
+
+    def inside(block: Column) -> Column:
+        begin = F.struct(block["at"].alias("at"), F.array().cast(kind).alias("out"))
+
+        def add(acc, p):
+            here = acc["at"] + p["gap"]
+            made = make(here, here + p["size"], p["m"])
+            return F.struct((here + p["size"]).alias("at"), F.when(made.isNotNull(), F.array_append(acc["out"], made)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block["block"], begin, add, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(F.aggregate(blocks_of(pieces), start, after, lambda acc: acc["out"]), inside))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places, from the matches and the gaps between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    pieces = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
-
-    def add(acc, p):
-        begin = acc["at"] + p["gap"]
-        end = begin + F.char_length(p["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("m"))).alias("out"))
-
-    return F.aggregate(pieces, start, add, lambda acc: acc["out"])
+    return placed(gaps, found, lambda start, end, m: F.struct(start.alias("start"), end.alias("end"), m.alias("m")), _MATCH)
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,6 +145,7 @@ def _entity(kind: str, m: Column) -> Column:
 def with_base(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds _text, a column of matches for each kind (_email ...), and _base: all spans by start, then kind as listed."""
     d = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    d = d.withColumn("_marked", marked(F.col("_text")))
     d = d.withColumns({f"_{k}": base_matches(F.col("_text"), k) for k in KINDS[:4]})
 
     def spans(i: int) -> Column:
@@ -111,44 +154,71 @@ def with_base(docs: DataFrame, text_col: str) -> DataFrame:
     return d.withColumn("_base", F.array_sort(F.concat(*[spans(i) for i in range(4)])))
 
 
+def marked(text: Column) -> Column:
+    """The text with every letter of an e-mail address as MARK: as long as before, and with the same matches of each pattern."""
+    plain = F.translate(text, MARK, OWN)
+    found = F.regexp_extract_all(plain, F.lit(PATTERNS["email"]), F.lit(0))
+    gaps = F.split(plain, PATTERNS["email"], -1)
+    masks = F.concat(F.transform(found, lambda m: F.regexp_replace(m, "[A-Za-z]", MARK)), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(gaps, masks, lambda g, m: F.concat(g, m)), "")
+    return F.when(plain.contains("@"), whole).otherwise(plain)
+
+
+def _around(text: Column, kind: str, window: int, mark: str = "") -> tuple[Column, Column]:
+    """The ``window`` characters before and after each match, fewer at the text's ends."""
+    inner = PATTERNS[kind].replace("[A-Za-z0-9", f"[{mark}A-Za-z0-9") if mark else PATTERNS[kind]
+    # the match is looked for first: only where there is one is the text before it read
+    whole = rf"(?s)(?=(?:{inner}))(?<=(^.{{0,{window - 1}}}|.{{{window}}}))(?:{inner})(?=(.{{0,{window}}}))"
+    return F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
+
+
 def _mentions(window: int) -> Column:
     """Of with_base(): array of (entity, ctx, terms: array of (term, start, end)) for each base span."""
-    text, base = F.col("_text"), F.col("_base")
-    length = F.char_length(text)
+    text, other = F.col("_text"), F.col("_marked")
 
-    def terms(begin: Column, size: Column, open_left: Column, open_right: Column) -> Column:
-        found = matches(F.substring(text, begin + 1, size), TERM)
-        whole = F.filter(found, lambda t: ~((open_left & (t["start"] == 0)) | (open_right & (t["end"] >= size))))
-        placed = F.transform(whole, lambda t: F.struct(F.lower(t["m"]).alias("term"), (begin + t["start"]).alias("start"), (begin + t["end"]).alias("end")))
-        return F.filter(placed, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    def terms(near: Column, begin: Column, open_left: Column, open_right: Column) -> Column:
+        size = F.char_length(near)
+        whole = F.filter(matches(near, FREE), lambda t: ~((open_left & (t["start"] == 0)) | (open_right & (t["end"] >= size))))
+        return F.transform(whole, lambda t: F.struct(F.lower(t["m"]).alias("term"), (begin + t["start"]).alias("start"), (begin + t["end"]).alias("end")))
 
-    def mention(kind: str):
+    def mention(kind: str, length: Column):
         def of(x):
-            left = F.greatest(x["start"] - window, F.lit(0))
-            size = F.least(F.lit(window), length - x["end"])
-            around = F.concat(F.substring(text, left + 1, x["start"] - left), F.lit("\n"), F.substring(text, x["end"] + 1, size))
+            left, right = F.char_length(x["l"]), F.char_length(x["r"])
+            begin = x["start"] - left
             return F.struct(
-                _entity(kind, x["m"]).alias("entity"), F.xxhash64(F.lower(around)).alias("ctx"),
-                F.concat(terms(left, x["start"] - left, left > 0, F.lit(True)), terms(x["end"], size, F.lit(True), x["end"] + size < length)).alias("terms"),
+                _entity(kind, x["m"]).alias("entity"), F.xxhash64(F.lower(F.concat(x["l"], F.lit("\n"), x["r"]))).alias("ctx"),
+                F.concat(terms(x["a"], begin, begin > 0, F.lit(True)), terms(x["b"], x["end"], F.lit(True), x["end"] + right < length)).alias("terms"),
             )
         return of
 
-    return F.concat(*[F.transform(f"_{k}", mention(k)) for k in KINDS[:4]])
+    def every(kind: str) -> Column:
+        parts = (matches(text, PATTERNS[kind]), *_around(text, kind, window), *_around(other, kind, window, MARK))
+        found = F.arrays_zip(*[p.alias(n) for n, p in zip(("x", "l", "r", "a", "b"), parts, strict=True)])
+        found = F.filter(found, lambda f: _valid(kind, f["x"]["m"]))
+        found = F.transform(found, lambda f: F.struct(f["x"]["start"].alias("start"), f["x"]["end"].alias("end"), f["x"]["m"].alias("m"), f["l"].alias("l"), f["r"].alias("r"), f["a"].alias("a"), f["b"].alias("b")))
+        return F.when(F.size(f"_{kind}") > 0, let(F.char_length(text), lambda n: F.transform(found, mention(kind, n)))).otherwise(F.array().cast(_MENTIONS))
+
+    return F.concat(*[every(k) for k in KINDS[:4]])
 
 
 def base_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 60) -> DataFrame:
     """Written table of (doc_id, _t, n_email ..., _base, _mentions): what the patterns find, without the texts."""
     d = with_base(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
-    empty = "array<struct<entity:string,ctx:bigint,terms:array<struct<term:string,start:int,end:int>>>>"
     return cut(d.select(
         "doc_id", F.xxhash64("text").alias("_t"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]], "_base",
-        F.when(F.size("_base") > 0, _mentions(window)).otherwise(F.array().cast(empty)).alias("_mentions"),
+        F.when(F.size("_base") > 0, _mentions(window)).otherwise(F.array().cast(_MENTIONS)).alias("_mentions"),
     ), "pii_base")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_support: int = 2,
-                     generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def disclosing_terms(docs: DataFrame, base: DataFrame, **options) -> DataFrame:
     """Written table (entity, term, n_et, n_e, n_t, disclosure, action) of the pairs over the threshold."""
+    return disclosed(docs, base, **options)[0]
+
+
+def disclosed(docs: DataFrame, base: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_support: int = 2,
+              generalise_at: float = 0.8, remove_at: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(pairs, said): disclosing_terms(), and a written table (doc_id, _t, term) of the documents that hold a term which may
+    disclose: all words of all documents are looked at once."""
     x = base.filter(F.size("_mentions") > 0).select("doc_id", "_t", F.explode("_mentions").alias("x"))
     m = x.select("doc_id", "_t", "x.entity", "x.ctx", F.explode("x.terms").alias("y")).select("doc_id", "_t", "entity", "ctx", "y.*")
     row = F.struct("doc_id", "_t")
@@ -167,36 +237,29 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, *, id_col: str = "doc_id"
     near = cut(near.select("entity", "term", "n_et", "n_e"), "pii_near")
     wanted = cut(near.select("term").distinct(), "pii_terms")
     said = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_t"), F.explode(F.array_distinct(_words(F.col(text_col)))).alias("term"))
-    counts = said.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.countDistinct(row).alias("n_t"))  # others need not be counted
+    said = cut(said.join(small(wanted), "term", "left_semi"), "pii_said")  # others need not be counted
+    counts = said.groupBy("term").agg(F.countDistinct(row).alias("n_t"))
     pairs = near.join(counts, "term").withColumn("disclosure", disclosure(F.col("n_t")))
     pairs = pairs.filter(F.col("disclosure") >= generalise_at).withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise"))
-    return cut(pairs.select("entity", "term", "n_et", "n_e", "n_t", "disclosure", "action"), "pii_pairs")
+    return cut(pairs.select("entity", "term", "n_et", "n_e", "n_t", "disclosure", "action"), "pii_pairs"), said
 
 
-def term_spans(docs: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, pairs: DataFrame, said: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _t, _terms: array of (start, kind, end, remove)) for the documents in which a term of ``pairs`` stands
     anywhere outside the patterns' spans; a written table."""
     terms = cut(pairs.groupBy("term").agg(F.max(F.col("action") == "remove").alias("remove")), "pii_removed")
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_t"), F.col(text_col).alias("text"))
-    said = d.select("doc_id", "_t", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(small(terms), "term")
-    held = cut(said.groupBy("doc_id", "_t").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("_held")), "pii_held")
-    held = small(held.withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
-    d = with_base(d.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u"))), "text")
-    text = F.col("_text")
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    gaps = F.slice(F.split(text, TERM, -1), 1, F.size(found))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
-
-    def add(acc, p):
-        start = acc["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["m"])
-        remove = F.element_at(F.col("_held"), F.lower(p["m"]))
-        span = F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"), remove.alias("remove"))
-        return F.struct(end.alias("at"), F.when(remove.isNotNull(), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    every = F.aggregate(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), begin, add, lambda acc: acc["out"])
-    free = F.filter(every, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    spans = d.select("doc_id", "_t", free.alias("_terms")).filter(F.size("_terms") > 0)
+    held = said.join(small(terms), "term").groupBy("doc_id", "_t").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("_held"))
+    held = small(cut(held, "pii_held").withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
+    d = d.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u"))).withColumn("_text", marked(F.coalesce("text", F.lit(""))))
+    found = F.regexp_extract_all("_text", F.lit(FREE), F.lit(0))
+    gaps = F.slice(F.split("_text", FREE, -1), 1, F.size(found))
+
+    def make(start: Column, end: Column, m: Column) -> Column:
+        remove = F.element_at(F.col("_held"), F.lower(m))
+        return F.when(remove.isNotNull(), F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"), remove.alias("remove")))
+
+    spans = d.select("doc_id", "_t", placed(gaps, found, make, _TERMS).alias("_terms")).filter(F.size("_terms") > 0)
     return cut(spans.dropDuplicates(["doc_id", "_t"]), "pii_spans")
 
 
@@ -210,8 +273,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base (array of spans), terms (array of spans)."""
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
-    pairs = disclosing_terms(docs, base, id_col=id_col, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
-    spans = term_spans(docs, pairs, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"})
+    pairs, said = disclosed(docs, base, id_col=id_col, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
+    spans = term_spans(docs, pairs, said, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"})
     out = base.join(small(spans), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
     terms = F.transform(F.coalesce("_terms", F.array().cast(_TERMS)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], F.col("_base").alias("base"), terms.cast(_SPAN).alias("terms"))
@@ -222,8 +285,8 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``<email>`` and the like in place of what is found, generalised terms by category; all else as it was. Overlapping spans become one."""
     columns = docs.columns
     base = base_table(docs, id_col=id_col, text_col=text_col, window=window)
-    pairs = disclosing_terms(docs, base, id_col=id_col, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
-    spans = small(term_spans(docs, pairs, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
+    pairs, said = disclosed(docs, base, id_col=id_col, text_col=text_col, min_support=min_support, generalise_at=generalise_at, remove_at=remove_at)
+    spans = small(term_spans(docs, pairs, said, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "_t": "_u"}))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])  # out of the way of our own names
     d = with_base(docs.select(row.alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_raw")), "_raw")
     d = d.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_raw") == F.col("_u")), "left")
@@ -232,14 +295,28 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS[:4]])
     text = F.col("_text")
 
-    def put(acc, s):
-        category = F.when(F.substring(text, s["start"] + 1, F.lit(1)).rlike(r"\p{Lu}"), "<name>").otherwise("<word>")
-        mark = F.when(s["remove"], F.lit("")).when(s["kind"] == 4, category).otherwise(F.try_element_at(names, s["kind"] + 1))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    # spans that begin before another has ended are part of it; each of the others knows where the text before it begins
+    kept = "array<struct<from:int,start:int,end:int,kind:int,remove:boolean>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out"))
+
+    def keep(acc, s):
+        one = F.struct(acc["at"].alias("from"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["remove"].alias("remove"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    d = d.withColumn("_every", every).withColumn("_kept", F.aggregate("_every", begin, keep)).withColumns({"_end": F.col("_kept.at"), "_kept": F.col("_kept.out")})
+
+    def pieces(block: Column) -> Column:
+        """Blocks of spans cut their own part out of the text first, so that no span is looked for from the text's start."""
+        first = block[0]["from"]
+
+        def one(part: Column, s: Column) -> Column:
+            category = F.when(F.substring(part, s["start"] - first + 1, F.lit(1)).rlike(r"\p{Lu}"), "<name>").otherwise("<word>")
+            mark = F.when(s["remove"], F.lit("")).when(s["kind"] == 4, category).otherwise(F.try_element_at(names, s["kind"] + 1))
+            return F.concat(F.substring(part, s["from"] - first + 1, s["start"] - s["from"]), mark)
+
+        own = F.substring(text, first + 1, F.element_at(block, -1)["end"] - first)
+        return let(own, lambda part: F.array_join(F.transform(block, lambda s: one(part, s)), ""))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(every, begin, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    d = d.withColumn("_every", every).withColumn("_clean", F.when(F.size("_every") > 0, clean).otherwise(F.col("_raw")))
+    clean = F.concat(F.array_join(F.transform(blocks_of(F.col("_kept")), pieces), ""), F.substring(text, F.col("_end") + 1, F.char_length(text)))
+    d = d.withColumn("_clean", F.when(F.size("_every") > 0, clean).otherwise(F.col("_raw")))
     return d.select(*[F.col("_clean" if c == text_col else f"_row.`{c}`").alias(c) for c in columns])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import random
 import re
 
@@ -217,3 +218,31 @@ def test_warc_damage():
     for bad in (every[0][:-1], every[0] + b"x", every[0].replace(b"WARC/1.1", b"WARC/9.9"), every[0].replace(b"<p>0", b"<p>1"), every[0].replace(b"Content-Length: 4", b"Content-Length: 5", 1)):
         with pytest.raises(ValueError):
             warc.parse(bad)
+
+
+def test_words_beside_addresses_and_private_characters(spark):
+    odd = ["ééééémile@corp.org wörtlich", "x+1234567890123abcdef Wörterfünf", "@corp.org Jahre", "a.b@c.de.f@g.hi Nachbar", "4111 1111 1111 1111 Karte karte@x.yz-Teil", "1.2.3.4@corp.org Zifferblatt 1.2.3.4 Ende"]
+    rows = [(i, f"{odd[i % len(odd)]} boss@corp.org Ufer{'ab'[i % 2] * 3} {i}") for i in range(24)] + [(100 + i, f"nothing {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, spans = _plain_disclosure(rows)
+    got = pii.disclosing_terms(docs, pii.base_table(docs)).collect()
+    assert {(r.entity, r.term): (r.n_et, r.n_e, r.n_t, r.disclosure) for r in got} == want and want
+    assert all([(s["start"], s["end"]) for s in r.terms] == spans[r.doc_id, dict(rows)[r.doc_id]] for r in pii.find_pii(docs).collect())
+
+
+def test_very_many_mentions_in_one_text(spark):
+    def text(n):
+        return " ".join(f"Wort{i % 7}x name{i}@mail{i % 50}.org" for i in range(n))
+
+    took = {}
+    for n in (500, 8000):  # the first also warms up
+        docs = spark.createDataFrame([(1, text(n)), (2, text(50))], "doc_id long, text string")
+        began = time.time()
+        base = pii.base_table(docs)
+        took[n] = time.time() - began
+        row = base.filter("doc_id = 1").first()
+        assert row.n_email == n and len(row._mentions) == n
+        assert [(s["start"], s["end"]) for s in row._base] == [(a, b) for a, _, b, _ in _spans(text(n))]
+    assert took[8000] < 15
+    clean = pii.sanitise(docs).filter("doc_id = 1").first().text
+    assert clean.count("<email>") == 8000 and "@" not in clean and clean.startswith("Wort0x <email> Wort1x <email>")
