@@ -1,14 +1,16 @@
 """Toxicity by weak supervision.
 
-Items (words, and word beginnings as patterns) that mark toxic documents are mined from a bounded sample of labelled
-documents and dealt over ``voters`` lexicon and pattern voters. Every document of the corpus is then voted on, and the
-votes are counted by pattern: ``voters`` bits give at most 2 ** voters counts, whatever the corpus holds. From these
-counts alone, a generative model with one hidden class estimates by expectation maximisation how often each voter fires
-in either class, and how strongly the voters' errors correlate given the class; a vote weighs the less, the more of it
-is repeated by others. A voter that stays silent where others fire abstains; only a document on which all are silent is
-held to be voted clean. Its posterior of each vote pattern labels a bounded sample of documents, on which a linear
+Items (words, and word beginnings as patterns) that mark toxic documents, and such as mark clean ones, are mined from a
+bounded sample of labelled documents and dealt over ``voters`` lexicon and pattern voters, each of which votes for its own
+side or abstains. Every document of the corpus is then voted on, and the votes are counted by pattern: ``voters`` bits give
+at most 2 ** voters counts, whatever the corpus holds. From these counts a generative model with one hidden class estimates
+by expectation maximisation how often documents are toxic, how often each voter votes in either class, and how the voters'
+votes correlate given the class. It starts from the shares in which the items stood in labelled documents, which then weigh
+as much as ``trust`` documents. A vote counts by its log ratio between the classes, and so does an abstention, which thereby
+says what it says: little from a voter that seldom votes. What correlated voters do alike counts the less, the more of it is
+repeated. Its posterior of each vote pattern labels a bounded sample of documents, on which a linear
 classifier over hashed words and beginnings is trained, of which those count that enough of the sample's documents hold
-and that are much likelier in one class. Scores come from the classifier.
+and whose log ratio between the classes exceeds ``ratio`` by ``sure`` standard errors. Scores come from the classifier.
 
 Defined results: a null or empty text has no words and scores by the intercept. Equal texts get equal scores, repeated
 rows a score each. Without labelled rows, or without a toxic one, nothing is mined, no voter fires, and every document
@@ -33,6 +35,8 @@ from .common import bounded_sample, cut, packed, text_batches, unpacked
 @dataclass(frozen=True)
 class Settings:
     voters: int = 14
+    #: Of these, how many vote clean.
+    clean: int = 4
     items: int = 400
     beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)
     sample: int = 8000
@@ -41,16 +45,21 @@ class Settings:
     least: int = 4
     support: float = 0.01
     pure: float = 0.8
+    #: Documents that hold a mark of clean ones, as a share of all, at least; and the share of these that is toxic, against
+    #: that of all, at most; it must lie below the share of all by ``sure`` standard errors.
+    common: float = 0.05
+    spotless: float = 0.25
+    #: Documents as many of which the labelled sample's shares weigh in the label model.
+    trust: float = 20.0
     #: Share of the classifier's sample that holds an input at least, and its log ratio between the classes at least.
     held: float = 0.005
     ratio: float = 1.0
+    sure: float = 2.0
     steps: int = 150
     seed: int = 5
 
 
 REMEMBERED = 300_000
-#: Posterior of a document on which every voter is silent: it is voted clean. Votes alone can't tell how many those miss.
-SILENT = 0.01
 #: Odd multipliers of a hash.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], "u8")
 
@@ -86,9 +95,9 @@ def weighed(texts: DataFrame, s: Settings) -> DataFrame:
     return cut(t.join(most, "_n").drop("_n", "_signs"), "weighed")
 
 
-def mine(texts: DataFrame, s: Settings) -> dict[str, float]:
-    """``texts`` (text, y, wt): items of toxic documents, best first, with the share of their documents that is clean.
-    Counted by Spark; those over the thresholds are few and the best ``items`` of them come to the driver."""
+def mine(texts: DataFrame, s: Settings) -> tuple[dict[str, float], dict[str, float]]:
+    """``texts`` (text, y, wt): items of toxic documents, and of clean ones, best first, with the share of their documents that is
+    toxic. Counted by Spark; those over the thresholds are few and the best ``items`` of them come to the driver."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,25 +105,33 @@ def mine(texts: DataFrame, s: Settings) -> dict[str, float]:
             yield pd.DataFrame(out, columns=["item", "y", "wt"])
 
     weight = F.round(F.sum("wt"), 6).alias("n"), F.round(F.sum(F.col("wt") * F.col("y")), 6).alias("toxic")
-    counts = texts.mapInPandas(rows, "item string, y int, wt double").groupBy("item").agg(*weight)
-    toxic = texts.agg(F.coalesce(F.sum(F.col("wt") * F.col("y")), F.lit(0.0))).first()[0]
-    good = counts.filter((F.col("toxic") >= max(s.least, s.support * toxic)) & (F.col("toxic") >= s.pure * F.col("n")))
+    counts = cut(texts.mapInPandas(rows, "item string, y int, wt double").groupBy("item").agg(*weight), "items")
+    every = texts.agg(F.coalesce(F.sum(F.col("wt") * F.col("y")), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("wt"), F.lit(0.0)).alias("n")).first()
+    good = counts.filter((F.col("toxic") >= max(s.least, s.support * every["toxic"])) & (F.col("toxic") >= s.pure * F.col("n")))
     worth = F.round(F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("n") - F.col("toxic") + 0.5)), 6)
     best = good.orderBy(F.desc(worth), "item").limit(s.items).collect()
-    return {r["item"]: (r["n"] - r["toxic"] + 0.5) / (r["n"] + 2) for r in best}
-
-
-def voters_of(items: Iterable[str], s: Settings) -> dict[str, int]:
-    """Voter of each item. Of items that begin alike the best is kept; words and beginnings are dealt in turn over the
-    voters of their kind, half of all."""
+    if not best:
+        return {}, {}
+    share = lambda r: (r["toxic"] + 0.5) / (r["n"] + 2)
+    expected = F.col("n") * every["toxic"] / every["n"]
+    few = (F.col("n") >= max(s.least, s.common * every["n"])) & (F.col("toxic") <= s.spotless * expected) & (expected - F.col("toxic") >= s.sure * F.sqrt(expected))
+    clean = counts.filter(few & ~F.col("item").endswith("*")).orderBy(F.desc("n"), "item").limit(s.items).collect()
+    return {r["item"]: share(r) for r in best}, {r["item"]: share(r) for r in clean}
+
+
+def voters_of(items: Iterable[str], s: Settings, clean: Iterable[str] = ()) -> dict[str, int]:
+    """Voter of each item. Of toxic items that begin alike the best is kept; words and beginnings are dealt in turn over the
+    voters of their kind, half of those that vote toxic; marks of clean documents over the last ``clean`` voters."""
     kept: list[str] = []
     for i in items:
         i_ = i.rstrip("*")
         if not any(i_.startswith(k.rstrip("*")) or k.rstrip("*").startswith(i_) for k in kept):
             kept.append(i)
-    half = s.voters // 2
+    toxic = s.voters - s.clean
+    half = toxic // 2
     words, starts = [i for i in kept if i[-1] != "*"], [i for i in kept if i[-1] == "*"]
-    return {w: j % half for j, w in enumerate(words)} | {b: half + j % (s.voters - half) for j, b in enumerate(starts)}
+    out = {w: j % half for j, w in enumerate(words)} | {b: half + j % (toxic - half) for j, b in enumerate(starts)}
+    return {c: toxic + j % s.clean for j, c in enumerate(clean) if s.clean} | out
 
 
 class Voter:
@@ -142,32 +159,34 @@ class Voter:
 class LabelModel:
     prior: float
     fires: np.ndarray  # (class, voter)
-    excess: np.ndarray  # positive correlation of each pair of voters, given the class
+    excess: np.ndarray  # correlation of each pair of voters, given the class
 
     def posterior(self, masks: np.ndarray) -> np.ndarray:
         v = ((masks[:, None] >> np.arange(self.fires.shape[1])) & 1).astype("f8")
-        fired = v * np.log(self.fires[1] / self.fires[0]) / (1 + v @ self.excess)  # less what others that fire repeat
-        z = fired.sum(1) + math.log(self.prior / (1 - self.prior))
-        return np.where(v.any(1), 1 / (1 + np.exp(-np.clip(z, -30, 30))), SILENT)
+        both = np.maximum(self.excess, 0)  # opposed voters repeat nothing
+        alike = v * (v @ both) + (1 - v) * ((1 - v) @ both)  # how much of what a voter does is done by others
+        said = v * np.log(self.fires[1] / self.fires[0]) + (1 - v) * np.log((1 - self.fires[1]) / (1 - self.fires[0]))
+        z = (said / (1 + alike)).sum(1) + math.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_label_model(masks: np.ndarray, counts: np.ndarray, s: Settings, false: np.ndarray) -> LabelModel:
-    """From the number of documents with each vote pattern. No label is used; a voter is taken to fire oftener on toxic
-    documents than on others, and ``false`` is the share of its firings held wrong beforehand."""
-    m = s.voters
+    """From the number of documents with each vote pattern. ``false`` is the share of each voter's votes held wrong beforehand;
+    the last ``clean`` of the voters vote clean, if there are so many."""
+    m = len(false)
+    toward = np.arange(m) < m - s.clean if m == s.voters and m > 2 * s.clean else np.ones(m, bool)
     v = ((masks[:, None] >> np.arange(m)) & 1).astype("f8")
     n = counts.astype("f8")
     rate = (n @ v) / max(n.sum(), 1)
-    some = (v.sum(1) > 0) @ n / max(n.sum(), 1)
-    model = LabelModel(float(np.clip(some, 1e-4, 0.5)), np.stack([np.clip(rate * 0.05, 1e-5, 0.5), np.clip(rate / max(some, 1e-9) * 0.9, 1e-3, 0.99)]), np.zeros((m, m)))
+    prior = float(np.clip((v[:, toward].sum(1) > 0) @ n / max(n.sum(), 1), 1e-4, 0.5))
+    toxic = np.where(toward, 1 - false, false)
+    start = np.clip(np.stack([rate * (1 - toxic) / (1 - prior), rate * toxic / prior]), 1e-5, 1 - 1e-3)
+    model = LabelModel(prior, start, np.zeros((m, m)))
     for _ in range(2):  # without correlations, then with
         for _ in range(60):
             p = model.posterior(masks)
             w = np.stack([(1 - p) * n, p * n])
-            prior = np.stack([false * rate * n.sum(), 0.01 + 0 * rate])
-            model.fires = np.clip((w @ v + prior) / (w.sum(1, keepdims=True) + 1), 1e-6, 1 - 1e-3)
-            model.fires[1] = np.maximum(model.fires[1], model.fires[0] * 2)
-            model.fires = np.clip(model.fires, 1e-6, 1 - 1e-3)
+            model.fires = np.clip((w @ v + s.trust * start) / (w.sum(1, keepdims=True) + s.trust), 1e-6, 1 - 1e-3)
             model.prior = float(np.clip(w[1].sum() / max(w.sum(), 1), 1e-6, 0.9))
         p = model.posterior(masks)
         cov = np.zeros((m, m))
@@ -175,7 +194,7 @@ def fit_label_model(masks: np.ndarray, counts: np.ndarray, s: Settings, false: n
             d = v - model.fires[c]
             cov += d.T @ (d * (q * n)[:, None])
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        model.excess = np.maximum(cov / np.outer(sd, sd), 0) * (1 - np.eye(m))
+        model.excess = cov / np.outer(sd, sd) * (1 - np.eye(m))
     return model
 
 
@@ -249,8 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), learn.alias("learn"))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     known = bounded_sample(known, "_id", s.sample // 2, "y")
-    items = mine(weighed(d.join(F.broadcast(known), "_id").select("text", "y"), s), s)  # the sample is bounded
-    voters = voters_of(items, s)
+    items, clean = mine(weighed(d.join(F.broadcast(known), "_id").select("text", "y"), s), s)  # the sample is bounded
+    voters = voters_of(items, s, clean)
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vote = Voter(voters, s)
@@ -260,7 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     id_type = d.schema["_id"].dataType.simpleString()
     voted = cut(d.mapInPandas(votes, f"_id {id_type}, learn boolean, mask int"), "votes")
     seen = voted.groupBy("mask").count().toPandas().sort_values("mask")  # at most 2 ** voters rows
-    false = np.array([max([items[i] for i, j in voters.items() if j == k], default=0.5) for k in range(s.voters)])
+    wrong = {**clean, **{i: 1 - share for i, share in items.items()}}
+    false = np.array([max([wrong[i] for i, j in voters.items() if j == k], default=0.5) for k in range(s.voters)])
     model = fit_label_model(seen["mask"].to_numpy("i8"), seen["count"].to_numpy("i8"), s, false)
     p = dict(zip(seen["mask"].tolist(), model.posterior(seen["mask"].to_numpy("i8")).tolist(), strict=True))
     table = spark.createDataFrame([(int(k), float(x), int(x >= 0.5)) for k, x in p.items()] or [(0, 0.0, 0)], "mask int, p double, side int")
@@ -276,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     total = sample.agg(F.coalesce(F.sum("wt"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.col("p") * F.col("wt")), F.lit(0.0)).alias("p")).first()
     inputs = sample.select(F.explode("at").alias("h"), "p", "wt").groupBy("h").agg(F.sum("wt").alias("n"), F.sum(F.col("p") * F.col("wt")).alias("t"))
     toxic, clean = (F.col("t") + 0.5) / (total["p"] + 1), (F.col("n") - F.col("t") + 0.5) / (total["n"] - total["p"] + 1)
-    inputs = inputs.filter(F.col("n") >= max(3, s.held * total["n"])).withColumn("ratio", F.log(toxic / clean)).filter(F.abs("ratio") >= s.ratio)
+    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
+    inputs = inputs.filter(F.col("n") >= max(3, s.held * total["n"])).withColumn("ratio", F.log(toxic / clean)).filter(F.abs("ratio") - s.sure * error >= s.ratio)
     ratios = {r["h"]: r["ratio"] for r in inputs.select("h", "ratio").collect()}  # at most the sample's inputs over their least number
     names = np.array(sorted(ratios), "i4")
 

@@ -140,3 +140,54 @@ def test_predictions_are_the_plain_ones(corpus):
     assert got == sorted(((r.text, c[0], round(c[1], 9)) for r in docs.collect() if (c := language_id.classify(r.text, model, s))), key=str)
     flat = language_id.Model(["aa", "bb"], np.zeros((s.buckets, s.dim), "f4"), np.zeros((2, s.dim)), np.zeros(2), 1.0, 0.0)
     assert language_id.classify("some text", flat, s)[0] == "aa"
+
+
+def test_toxicity_scores_in_plain_loops(spark):
+    """Every document of a whole table: the classifier's sum over a text's words and beginnings, one by one."""
+    import math
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rest = remainder(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter(rest != 0), rest != 0)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, keep={"doc_id": F.col("doc_id")}).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and model.classifier.weights
+    for r in rows:
+        held = set()
+        for word in (r.text or "").lower().split():
+            word = word.strip(".,;:!?\"'()[]<>|*&%$#-")
+            if word:
+                for item in [word, *[word[:n] + "*" for n in (4, 5, 6, 7, 8) if len(word) >= n]]:
+                    held.add(zlib.crc32(item.encode()) - 2**31)
+        margin = model.classifier.bias + sum(model.classifier.weights.get(h, 0.0) for h in held)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-min(max(margin, -30), 30)))) < 1e-9
+
+
+def test_label_model_posterior_in_plain_loops():
+    import math
+
+    rng = np.random.default_rng(2)
+    m, s = 5, toxicity.Settings(voters=5, clean=2)
+    y = rng.random(30_000) < 0.2
+    one, zero = np.array([0.4, 0.5, 0.3, 0.02, 0.05]), np.array([0.01, 0.005, 0.02, 0.4, 0.3])
+    v = rng.random((len(y), m)) < np.where(y[:, None], one, zero)
+    masks, counts = np.unique(v @ (1 << np.arange(m)), return_counts=True)
+    model = toxicity.fit_label_model(masks, counts, s, np.array([0.05, 0.05, 0.1, 0.05, 0.1]))
+    assert np.abs(model.fires[1] - one).max() < 0.06 and np.abs(model.fires[0] - zero).max() < 0.06 and abs(model.prior - 0.2) < 0.03
+    for mask, p in zip(masks.tolist(), model.posterior(masks).tolist(), strict=True):
+        votes = [mask >> j & 1 for j in range(m)]
+        z = math.log(model.prior / (1 - model.prior))
+        for j in range(m):
+            f1, f0 = model.fires[1][j], model.fires[0][j]
+            said = math.log(f1 / f0) if votes[j] else math.log((1 - f1) / (1 - f0))
+            z += said / (1 + sum(max(model.excess[j][k], 0) for k in range(m) if votes[k] == votes[j]))
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_beats_the_common_answer(spark):
+    from foldlake.llm import queries
+
+    rows = queries.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("toxic is not null").collect()
+    right, common = sum(r.predicted == r.toxic for r in rows), sum(r.toxic == 0 for r in rows)
+    assert right > common and sum(r.predicted and not r.toxic for r in rows) <= len(rows) / 50
