@@ -78,3 +78,12 @@ def substitute(seq: Column, options: dict[str, str]) -> Column:
 
 def radii_table(spark: SparkSession, name: str = "tsai1999") -> DataFrame:
     return spark.createDataFrame(list(RADII[name].items()), "element string, radius double")
+
+
+def parameters(text: Column) -> Column:
+    """map of a parameter string ``k=v k=v``: words of a name, ``=`` and a value, which may be empty; of one name the last
+    counts, and words without ``=`` are names without value (null). Null for a null text."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    pairs = F.transform(words, lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.when(w.contains("="), F.regexp_replace(w, "^[^=]*=", "")).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)

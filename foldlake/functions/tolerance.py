@@ -36,11 +36,18 @@ PRESETS = {
 }
 
 
+def substitutes(scores: Iterable[int] = SCORES) -> list[tuple[str, int, str]]:
+    """(aa, score, other): a row for each substitute of the matrix whose score is among ``scores``."""
+    rows = [(aa, score, other) for aa, others in EDSS50.items() for score, letters in zip(SCORES, others, strict=True) for other in letters]
+    return [r for r in rows if r[1] in set(scores)]
+
+
 def by_score(scores: int | Iterable[int] = SCORES) -> dict[str, str]:
-    """Each residue of the matrix with itself and its substitutes of the chosen scores, in the order chosen."""
-    chosen = [scores] if isinstance(scores, int) else list(scores)
-    columns = [SCORES.index(x) for x in chosen]
-    return {aa: aa + "".join(row[c] for c in columns) for aa, row in EDSS50.items()}
+    """Each residue of the matrix with itself and its substitutes of the chosen scores."""
+    table = {aa: aa for aa in EDSS50}
+    for aa, _, other in substitutes([scores] if isinstance(scores, int) else scores):
+        table[aa] += other
+    return table
 
 
 def allowed(table: dict[str, str], residues: str) -> dict[str, str]:
@@ -50,5 +57,5 @@ def allowed(table: dict[str, str], residues: str) -> dict[str, str]:
 
 def allowed_table(spark: SparkSession, table: dict[str, str], residues: str) -> DataFrame:
     """(aa, other): a row for each residue and what may stand for it, itself included."""
-    rows = [(aa, other) for aa, others in allowed(table, residues).items() for other in others]
-    return spark.createDataFrame(rows, "aa string, other string")
+    rows = {(aa, other) for aa in residues for other in (aa, *table.get(aa, ""))}
+    return spark.createDataFrame(sorted(rows), "aa string, other string")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import residue_arrays as A
+
 
 def label_runs(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
     """keys, label, start, stop (exclusive), length of each run of one label at consecutive positions."""
@@ -50,14 +57,21 @@ def class_windows(runs: DataFrame, keys: list[str], label: str, low: int = 1, hi
 
 
 def pattern_windows(df: DataFrame, text: str, pattern: str, k: int) -> DataFrame:
-    """Overlapping windows of k characters that match ``pattern`` whole: start, stop beside the columns of ``df``."""
-    rows = df.withColumn("_l", F.filter(F.split(text, ""), lambda c: c != "")).filter(F.size("_l") >= k)
-
-    def fits(i: Column) -> Column:
-        return F.concat(*[F.get("_l", i + j) for j in range(k)]).rlike(f"^(?:{pattern})$")
-
-    starts = F.filter(F.sequence(F.lit(0), F.size("_l") - k), fits)
-    return rows.select(*df.columns, F.explode(starts).alias("start")).withColumn("stop", F.col("start") + k)
+    """Overlapping windows of k characters (at most 7) that match ``pattern`` whole: start, stop beside the columns of ``df``. Each
+    distinct window of a slice is tried once."""
+    tried = re.compile(pattern)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, r in A.slices(batches, "text"):
+            at, codes = r.codes(k)
+            distinct, which = np.unique(codes, return_inverse=True)
+            fits = np.array([tried.fullmatch(w) is not None for w in A.text(distinct, k).to_pylist()], bool)
+            at = at[fits[which]] if len(at) else at
+            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(r.row[at])), pa.array(r.starts(at))], ["row", "start"])
+
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+    found = rows.mapInArrow(find, f"row {rows.schema['row'].dataType.simpleString()}, start int")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], "start").withColumn("stop", F.col("start") + k)
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:

@@ -134,7 +134,7 @@ def class_windows(spark, d):
 @query("pattern_windows", V.with_views("segments") + """select segment_id, o::int as start, (o + 4)::int as stop from (select segment_id, dssp, unnest(range(length(dssp) - 3)) as o from segments where length(dssp) >= 4)
  where regexp_full_match(substr(dssp, o + 1, 4), 'H[^E]{2}H|[TS ]+')""")
 def pattern_windows(spark, d):
-    return islands.pattern_windows(V.segments(spark, d), "dssp", "H[^E]{2}H|[TS ]+", 4).select("segment_id", "start", "stop")
+    return islands.pattern_windows(V.segments(spark, d).select("segment_id", "dssp"), "dssp", "H[^E]{2}H|[TS ]+", 4).select("segment_id", "start", "stop")
 
 
 _PURE = "regexp_full_match(translate(dssp, 'HGETS BIP', 'HHELLLLLL'), '[L]+|[HE]+')"
@@ -252,3 +252,11 @@ def seed_extend(spark, d):
  select segment_id, q_start::int as q_start, start::int as start, size::int as size, mismatches::int as mismatches from e""")
 def seed_extend_mismatch(spark, d):
     return kmers.seed_extend(V.segments(spark, d), QUERY_SEQ, max_percent=25)
+
+
+@query("parameter_strings", "select vec_id, (vec_id % 7)::varchar as size, coalesce(label::varchar, '') as label from embeddings")
+def parameter_strings(spark, d):
+    """Parameters of strings like ``size=1 label=0 size=3``: the last of a name counts."""
+    text = F.format_string("size=%d label=%s  size=%d", F.col("vec_id") % 5, F.coalesce(F.col("label").cast("string"), F.lit("")), F.col("vec_id") % 7)
+    m = R.parameters(text)
+    return V.table(spark, d, "embeddings").select("vec_id", m["size"].alias("size"), m["label"].alias("label"))
