@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..operators import kmers
 from ..sources import lines as L
-from ..sources import json_objects, packed, reports, sinks, structures
+from ..sources import json_objects, packed, reports, sinks, structures, tars
 from . import database_queries as DQ
 from . import sequence_queries as SQ
 from . import views as V
@@ -200,25 +196,13 @@ def sink_stats_csv(spark, d):
     return sinks.count_lines(kmers.kmer_counts(V.segments(spark, d), "fasta", SQ.KS))
 
 
-def tar_archives(spark, d):
-    """Tar archives, as (archive, content), of the segments: ten archives, a member for each segment."""
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as t:
-            for name, text in zip(part["name"], part["text"], strict=True):
-                info = tarfile.TarInfo(name)
-                info.size = len(text.encode())
-                t.addfile(info, io.BytesIO(text.encode()))
-        return pd.DataFrame({"archive": [part["archive"].iloc[0]], "content": [out.getvalue()]})
-
-    s = V.segments(spark, d).select((F.col("segment_id") % 10).cast("string").alias("archive"), F.concat(F.col("segment_id").cast("string"), F.lit(".fasta")).alias("name"), F.concat_ws("\n", F.lit(">x"), "fasta").alias("text"))
-    return s.groupBy("archive").applyInPandas(pack, "archive string, content binary")
-
-
 @query("scan_tar", V.with_views("segments") + "select segment_id::varchar as source, fasta as sequence from segments")
 def scan_tar(spark, d):
-    return reports.scan_fasta(L.split_tar_lines(L.untar(tar_archives(spark, d), ".fasta"))).select("source", "sequence")
+    """Archives of all segments, a member for each; read by their headers, then by ranges."""
+    s = V.segments(spark, d).select(F.concat(F.col("segment_id").cast("string"), F.lit(".fasta")).alias("name"), F.concat_ws("\n", F.lit(">x"), "fasta").alias("text"))
+    path = sinks.new_folder(spark, "tars")
+    tars.write_tars(s, path)
+    return reports.scan_fasta(L.split_tar_lines(L.read_tar(spark, path, ".fasta"))).select("source", "sequence")
 
 
 def packed_segments(spark, d):

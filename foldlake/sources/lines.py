@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import tars
+
 LINES = "source string, line_no int, line string"
 
 
@@ -42,27 +39,9 @@ def existing_ids(spark: SparkSession, path: str, glob: str = "*.pdb", pattern: s
 
 
 def read_tar(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """untar() of the tar files under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select(stem(F.col("path")).alias("archive"), "content")
-    return untar(files, suffix)
-
-
-def untar(files: DataFrame, suffix: str = "") -> DataFrame:
-    """archive, name, content of the members of archives (archive, content) whose names end in ``suffix``. What is no
-    archive gives one row without name."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, data in zip(batch["archive"], batch["content"], strict=True):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                        for m in t:
-                            if m.isfile() and m.name.endswith(suffix):
-                                yield pd.DataFrame({"archive": [archive], "name": [m.name], "content": [t.extractfile(m).read()]})
-                except tarfile.TarError:
-                    yield pd.DataFrame({"archive": [archive], "name": [None], "content": [None]})
-
-    return files.select("archive", "content").mapInPandas(members, "archive string, name string, content binary")
+    """archive, name, content of the members of the tar files under ``path`` whose names end in ``suffix``. What is no archive gives
+    one row without name."""
+    return tars.contents(tars.members(spark, path, suffix))
 
 
 def split_tar_lines(members: DataFrame) -> DataFrame:
