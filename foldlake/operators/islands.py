@@ -59,13 +59,13 @@ def class_windows(runs: DataFrame, keys: list[str], label: str, low: int = 1, hi
 def pattern_windows(df: DataFrame, text: str, pattern: str, k: int) -> DataFrame:
     """Overlapping windows of k characters (at most 7) that match ``pattern`` whole: start, stop beside the columns of ``df``. Each
     distinct window of a slice is tried once."""
-    tried = re.compile(pattern)
+    tried = re.compile(rf"(?:{pattern})\Z")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, r in A.slices(batches, "text"):
             at, codes = r.codes(k)
             distinct, which = np.unique(codes, return_inverse=True)
-            fits = np.array([tried.fullmatch(w) is not None for w in A.text(distinct, k).to_pylist()], bool)
+            fits = np.array([tried.match(w) is not None for w in A.text(distinct, k).to_pylist()], bool)
             at = at[fits[which]] if len(at) else at
             yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(r.row[at])), pa.array(r.starts(at))], ["row", "start"])
 
