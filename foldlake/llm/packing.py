@@ -7,7 +7,7 @@ with a gap give the pieces of their loosely filled sequences to a common pool, w
 new packing is taken if it needs fewer sequences, and the rounds end when it does not.
 
 Defined results: a null or empty text is the end id alone. Every row is packed by itself, so repeated rows and ids are
-kept. A null id stays null. A text of any length is tokenised whole. An empty table gives an empty result.
+kept. A null id stays null; ids are whole numbers. A text of any length is tokenised whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 #: Pieces in a partition: what one task packs.
 PART = 20_000
 #: Words, and parts of words, that a worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Letters under this one have one form only, in either case.
 LATIN_END = "\u0250"
 #: Marks that are one part together; the apostrophe may begin an ending of its own.

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, packed, text_batches, unpacked
 
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 _known: dict[str, int] = {}
 
 
