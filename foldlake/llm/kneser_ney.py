@@ -166,7 +166,12 @@ def _write(folder: str, kind: str, shard: int, data: bytes) -> None:
     own = f"{path}/.{shard}-{uuid.uuid4().hex}"
     with store.open_output_stream(own) as f:
         f.write(data)
-    store.move(own, f"{path}/{shard}")
+    try:
+        store.move(own, f"{path}/{shard}")
+    except OSError:  # some stores don't replace a file: another attempt has written the same
+        if store.get_file_info(f"{path}/{shard}").type != pyarrow.fs.FileType.File:
+            raise
+        store.delete_file(own)
 
 
 @functools.lru_cache(MAPS)

@@ -7,10 +7,10 @@ entity. A term (a word of four letters or more, lower-cased) near an entity's me
 
 for N documents, of which n_e hold the entity, n_t the term and n_et the term near the entity: 1 when the term only
 occurs with the entity. Terms at ``generalise_at`` or more are generalised to a category (``<name>`` for a word with a
-capital, else ``<word>``), at ``remove_at`` or more removed, if at
-least ``min_support`` different contexts show the pair (copies of one passage count once). n_t is counted over the
-whole corpus. Documents are counted as different pairs of id and text, in all four numbers. Nearness is evidence only: a disclosing term is found wherever it stands, far from a mention and in
-documents without the entity too; it is removed if any of its entities says so. DataFrame functions only.
+capital, else ``<word>``), at ``remove_at`` or more removed, if at least ``min_support`` different contexts show the pair
+(copies of one passage count once). n_t is counted over the whole corpus. Documents are counted as different pairs of id
+and text, in all four numbers. Nearness is evidence only: a disclosing term is found wherever it stands, far from a mention
+and in documents without the entity too; it is removed if any of its entities says so. DataFrame functions only.
 
 Defined results: null text is empty and has no spans. Positions are code points, ends exclusive. Repeated rows get the
 same result each. Null ids stay null. A corpus in which every document holds an entity discloses nothing about it.

@@ -13,7 +13,7 @@ than its share, however many rows are alike.
 
 Defined results: a null or empty text has no features and weight 0. The noise of a null id is that of an empty one, and it
 stands last among equal scores. Repeated rows get equal scores and ranks of their own. An empty target or table gives gains of
-counts of zero. With fewer documents of ``min_words`` words than the share asks for a first, none is drawn.
+counts of zero. With too few documents of ``min_words`` words for a whole one to be drawn, none is.
 """
 
 from __future__ import annotations
@@ -103,13 +103,13 @@ class Features:
         return n, total
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of about SLICE bytes each."""
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about ``size`` bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
     first = 0
     while first < len(texts):
         before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
         yield first, texts.slice(first, last - first)
         first = last
 
@@ -117,11 +117,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 def bucket_counts(docs: DataFrame, *, text_col: str = "text", n: int = 2, buckets: int = 10_000) -> np.ndarray:
     """How many n-grams of up to ``n`` words of all texts fall into each bucket."""
     text_batches(docs.sparkSession)
+    piece = SLICE
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, "i8")
         for batch in batches:
-            for _, texts in slices(batch["text"]):
+            for _, texts in slices(batch["text"], piece):
                 total += Features(texts, n, buckets).counts(buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["bucket", "n"])
@@ -143,11 +144,11 @@ def weighted(docs: DataFrame, gain: np.ndarray, *, id_col: str = "doc_id", text_
     """Written table: kept (the columns kept), id, n_words, n_features, weight, score of each document."""
     text_batches(docs.sparkSession)
     rows = docs.select(packed(keep).alias("kept"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(gain)
+    sent, piece = docs.sparkSession.sparkContext.broadcast(gain), SLICE
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in slices(batch["text"]):
+            for first, texts in slices(batch["text"], piece):
                 f = Features(texts, n, len(sent.value))
                 size, total = f.sums(sent.value)
                 rest = batch.slice(first, len(texts))

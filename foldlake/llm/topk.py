@@ -13,7 +13,7 @@ The blocks of both sides are of like size, so each is copied once for each block
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part.
 Shorter vectors count as if padded with zeros. Of rows with one id the least vector is kept. A query's own id is never
-its candidate. Ties go to the smaller id. Fewer candidates than k are all returned; no query, no rows. Sums must fit
+its candidate. Ids are whole numbers; ties go to the smaller one. Fewer candidates than k are all returned; no query, no rows. Sums must fit
 64 bits, which floor(64 x) does for components up to ten million.
 """
 

@@ -6,7 +6,8 @@ site's towards its domain's. A prior's mean is the parent's posterior mean; its
 and the spread of children around their parents, so doubt is handed down: what nothing is known of keeps the whole spread
 of all levels above. The spread comes from the data by the analysis of variance of each level (method of moments), as
 pseudo-counts; a level of g labelled groups shows its spread no better than g observations do, so it gives g pseudo-counts
-at most, and the global rate is known from g suffixes only (a uniform prior on it). A site is blocked when the lower bound of its posterior bad rate reaches a limit. DataFrame functions only.
+at most, and the global rate is known from g suffixes only (a uniform prior on it). A site is blocked when the lower
+bound of its posterior bad rate reaches a limit. DataFrame functions only.
 
 The registered domain is the label before the suffix and the suffix, the last label or one of ``suffixes`` (of two labels).
 Numeric addresses are their own domain and suffix.

@@ -9,7 +9,7 @@ frame, and checks version, headers, lengths, digests and that each frame is exac
 Defined results: a null payload is empty. Equal payloads have equal SHA-1 digests and lengths. Of repeated ids with the
 largest id of their group each is a response. A null id is never referred to: it revisits the group's largest id, or is
 a response if the group has none. A null URL is left out. An empty table gives no archive and no rows. A payload of any
-length is one record; archives close after the record that fills them.
+length is one record; archives close after the record that fills them. Ids are whole numbers.
 """
 
 from __future__ import annotations
