@@ -17,8 +17,11 @@ query = REGISTRY.query
 
 
 def _report(good: DataFrame, total, bad: DataFrame, source: str = "source") -> DataFrame:
-    """source, reason (null: good), n, total: rows kept with a sum over them, and lines set aside by reason."""
-    kept = good.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(total), 3) + 0.0).alias("total"))
+    """source, reason (null: good), n, total: rows kept with a sum over them, and lines set aside by reason. The sum is
+    rounded as in SQL, by the nearest whole number of thousandths in doubles: F.round goes by the decimal digits and takes
+    0.5095, which is a little less, up."""
+    thousandths = F.round(F.sum(total) * 1000)
+    kept = good.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), (thousandths / 1000 + 0.0).alias("total"))
     aside = bad.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.lit(0.0))
     return kept.withColumn("reason", F.lit(None).cast("string")).select("source", "reason", "n", "total").unionByName(aside.select("source", "reason", "n", "total"))
 

@@ -64,3 +64,17 @@ def test_per_structure_sets_failures_aside(spark):
     assert set(reasons) == {2, 3, 4} and reasons[2] == "KeyError: 'two'" and reasons[3].startswith("KeyError") and reasons[4] == "too large"
     good, bad = per_structure(df.filter(F.lit(False)), fn, "good double, order string", key="k")
     assert good.count() == 0 and bad.count() == 0
+
+
+def test_totals_are_rounded_as_in_sql(spark):
+    """0.5095 and 0.0635 as doubles: a thousand times them is below and at a half."""
+    import duckdb
+
+    from foldlake.plans.quarantine_queries import _report
+
+    given = {"a": [0.0632, 0.0887, 0.0509, 0.09, 0.0716, 0.1305, 0.0054, 0.0092], "b": [0.0635], "c": [-0.5095], "d": [0.25, 0.25]}
+    good = spark.createDataFrame([(k, x) for k, v in given.items() for x in v], "source string, x double").coalesce(1)
+    none = spark.createDataFrame([], "source string, reason string")
+    sql = {k: duckdb.execute("select round(list_sum($1), 3) + 0.0", [v]).fetchone()[0] for k, v in given.items()}
+    assert {r.source: r.total for r in _report(good, F.col("x"), none).collect()} == sql
+    assert sql["a"] == 0.509
