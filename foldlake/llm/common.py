@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ BROADCAST_ROWS = 200_000
 #: Bytes up to which a table of wide rows may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
+#: What an operator's functions remember in a Python worker, and how to drop it.
+_memories: dict[str, Callable[[], None]] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -95,6 +102,38 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, by: str | None = None)
     return df.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
 
 
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """``forget`` drops what this operator remembers in a worker."""
+    _memories[operator] = forget
+
+
+@contextlib.contextmanager
+def worker_of(operator: str):
+    """Around an operator's work in a Python worker. Spark uses a worker for many tasks, whichever operator they are of: what
+    other operators remember goes, and freed memory is given back at the end, as the worker may lie idle beside a full heap."""
+    for name, forget in _memories.items():
+        if name != operator:
+            forget()
+    yield
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def work_of(operator: str):
+    """Decorates a function from batches to batches."""
+
+    def around(f):
+        @functools.wraps(f)
+        def within(batches: Iterator) -> Iterator:
+            with worker_of(operator):
+                yield from f(batches)
+
+        return within
+
+    return around
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Rows that a Python worker is sent at once, for the jobs that run within."""

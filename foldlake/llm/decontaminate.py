@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, small, text_batches
+from .common import LOWER, UPPER, cut, small, text_batches, work_of
 
 # Bytes of words: digits, letters, and all of other characters; A-Z become a-z, the rest spaces.
 _KEPT = {*b"0123456789", *LOWER.encode(), *range(128, 256)}
@@ -109,6 +109,7 @@ def benchmark_grams(benchmark: DataFrame, *, id_col: str = "item_id", text_col:
     """Written table (item_id, k, w, fp, at, left, core, right) of all items' kept k-grams."""
     text_batches(benchmark.sparkSession)
 
+    @work_of("decontaminate")
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             every = [Words(t) for t in batch["text"]]
@@ -130,6 +131,7 @@ def document_grams(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     kinds = sorted((r["k"], r["w"]) for r in bench.select("k", "w").distinct().collect())  # at most one for each length up to the width
     sent = spark.sparkContext.broadcast(bits)
 
+    @work_of("decontaminate")
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             every = [Words(t) for t in batch["text"]]

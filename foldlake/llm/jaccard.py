@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut, small, text_batches
+from .common import UPPER, cut, small, text_batches, work_of
 from .decontaminate import MIX, Words
 
 #: Bytes of words: all but white space; A-Z become a-z.
@@ -47,6 +47,8 @@ MAP_BITS = 256
 ORDERS, CELL_BITS, PARTS = 3, 21, 32
 #: Rows up to which the classes' representatives, and a table of (token, pivot), are broadcast.
 ROWS = 1_000_000
+#: Words of 64 bits, as a power of two, of the largest bitmap of shared tokens.
+MARKS = 20
 #: Comparisons left, as a multiple of the rows in buckets, up to which buckets take no further pivot.
 LEFT = 16
 #: Classes of a bucket that one block of comparisons takes.
@@ -110,6 +112,7 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     """ORDERS tables of 1 << CELL_BITS cells, two bytes each: 1024 * log2(1 + documents' tokens in the cell), rounded."""
     width = (1 << CELL_BITS) // PARTS
 
+    @work_of("jaccard")
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((ORDERS, 1 << CELL_BITS), "u4")
         for batch in batches:
@@ -126,6 +129,7 @@ def _counts(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
                     out.append((k, part, zlib.compress(gaps, 1), zlib.compress(times, 1)))
             yield pd.DataFrame(out, columns=["k", "part", "cells", "times"])
 
+    @work_of("jaccard")
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -165,6 +169,7 @@ def _sets(docs: DataFrame, counts: np.ndarray, n: int, t: Threshold, id_col: str
         (h, at), *more = prefixes
         return (len(s), class_of(s), parity_map(s), h.view("i8"), at.astype("i4"), *[x.astype("u4").view("i4") for x, _ in more])
 
+    @work_of("jaccard")
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [of(text) for text in batch["text"]]
@@ -217,6 +222,7 @@ class _Whole:
         d = self.docs.select(F.col(self.id_col).alias("_d"), F.xxhash64(self.text_col).alias("_t"), F.col(self.text_col).alias("text"))
         d = d.join(small(chosen, ROWS), F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")))
 
+        @work_of("jaccard")
         def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield batch[["row"]].assign(s=[shingles(x, n).view("i8") for x in batch["text"]])
@@ -272,18 +278,32 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def _marked(tokens: DataFrame, often: DataFrame) -> DataFrame:
+    """``tokens`` without most of those that are not in ``often``, a written table too large to be broadcast for the join
+    that follows: that moves the others no more. A bitmap of about 8 bits for each token of ``often`` is broadcast, as rows of 64 bits;
+    beyond 2 ** MARKS rows it fills up and passes more. Smaller tables are broadcast themselves."""
+    n = often.count()
+    if n <= ROWS:
+        return tokens
+    words = 1 << min(MARKS, (n // 8).bit_length())
+    word = F.shiftrightunsigned("h", 38).bitwiseAND(F.lit(words - 1))
+    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))")
+    marks = cut(often.groupBy(word.alias("_w")).agg(F.bit_or(bit).alias("_bits")), "marks")
+    return tokens.withColumn("_w", word).join(F.broadcast(marks), "_w").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_w", "_bits")
+
+
 def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     """Pairs (a, b) of classes that connect all components."""
     first = cut(sets.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("row").alias("row")).select("row"), "first")
     classes = sets.join(small(first, ROWS), "row", "left_semi")
     tokens = classes.select("row", "n", F.explode(F.arrays_zip("h", "at")).alias("x")).select("row", "n", "x.h", "x.at")
     often = cut(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("pivot")).filter("k > 1"), "often")
-    shared = cut(tokens.join(small(often, ROWS), "h"), "shared")
+    shared = cut(_marked(tokens, often).join(small(often, ROWS), "h"), "shared")
     info = cut(classes.select("row", "n", "map").join(shared.select("row").distinct(), "row", "left_semi"), "info")
 
     near = t.sizes(F.col("n"), F.col("p.n")) & t.places(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"))
     pivots = shared.filter("row = pivot").select("h", F.struct("row", "n", "at").alias("p"))
-    tried = shared.filter("row <> pivot").join(pivots, "h").filter(near).select(*_pairs(F.col("row"), F.col("p.row"))).distinct()
+    tried = cut(shared.filter("row <> pivot").join(pivots, "h").filter(near).select(*_pairs(F.col("row"), F.col("p.row"))).distinct(), "tried")
     links = _verified(_candidates(tried, info, sets, t), whole, t)
     shared, before = shared.drop("pivot"), None
     while True:

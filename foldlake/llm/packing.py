@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, remembers, text_batches, work_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces in a partition: what one task packs.
@@ -33,7 +33,8 @@ LATIN_END = "\u0250"
 #: Marks that are one part together; the apostrophe may begin an ending of its own.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, WordEncoder] = {}
+remembers("packing", _loaded.clear)
 
 
 class WordEncoder:
@@ -96,6 +97,7 @@ def tokenise(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
     """Rows of PIECES."""
     text_batches(docs.sparkSession)
 
+    @work_of("packing")
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder.of(tokenizer)
         end = np.array([end_id], "<u4")

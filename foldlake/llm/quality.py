@@ -27,10 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, packed, text_batches, unpacked
+from .common import bounded_sample, packed, remembers, text_batches, unpacked, work_of, worker_of
 
 REMEMBERED = 60_000
 _known: dict[str, int] = {}
+remembers("quality", _known.clear)
 
 
 @dataclass(frozen=True)
@@ -155,6 +156,7 @@ def train(rows: list[tuple[list[int], list[float], int]], s: Settings) -> Model:
 
 
 def _features(buckets: int):
+    @work_of("quality")
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(*inputs(t, n, buckets), int(y)) for t, n, y in zip(batch["text"], batch["n_chars"], batch["y"], strict=True)]
@@ -189,8 +191,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", length_col:
     @F.pandas_udf("double")
     def scored(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = sent.value
-        for text, n in texts:
-            yield pd.Series([m.score(*inputs(t, x, m.settings.buckets)) for t, x in zip(text, n, strict=True)], dtype="float64")
+        with worker_of("quality"):
+            for text, n in texts:
+                yield pd.Series([m.score(*inputs(t, x, m.settings.buckets)) for t, x in zip(text, n, strict=True)], dtype="float64")
 
     rows = rows.select("kept", scored("text", "length").alias("score"))
     return rows.select(*unpacked(keep), F.col("score").alias(out[0]), (F.col("score") >= accept).cast("int").alias(out[1]))

@@ -62,6 +62,37 @@ def test_jaccard_is_brute_force(spark, n, num):
     assert got == {i: e for i, e in enumerate(_groups(texts, n, num))}
 
 
+@pytest.mark.parametrize("marks", [0, 20])
+def test_few_tokens_of_one_class_are_moved(spark, monkeypatch, marks):
+    """Where shared tokens are too many for a broadcast, most others don't reach the join; a bitmap too small loses no link."""
+    texts, moved, inner = _texts(), [], jaccard._marked
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], DOCS)
+
+    def marked(tokens, often):
+        out = inner(tokens, often)
+        moved.append((tokens.count(), out.count(), tokens.join(often, "h", "left_semi").count(), out.join(often, "h", "left_semi").count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_marked", marked)
+    monkeypatch.setattr(jaccard, "ROWS", 0)
+    monkeypatch.setattr(jaccard, "MARKS", marks)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, n=5, num=80, den=100).collect()}
+    assert got == {i: e for i, e in enumerate(_groups(texts, 5, 80))}
+    [(every, out, shared, kept)] = moved
+    assert shared == kept and (not marks or out - shared < 0.3 * (every - shared))
+
+
+def test_workers_drop_what_other_operators_remember(monkeypatch):
+    from foldlake.llm import common, quality
+
+    packing.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json")).encode(["some words"])
+    with common.worker_of("packing"):
+        assert packing._loaded
+    quality.bucket("word", 8)
+    assert list(common.work_of("quality")(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3]
+    assert not packing._loaded and quality._known
+
+
 def test_a_large_group_makes_few_candidates(spark, monkeypatch):
     """500 near copies of one text, among them pairs that no pivot links: far fewer candidates than pairs, whole components."""
     rng = random.Random(11)
