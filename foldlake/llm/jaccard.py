@@ -13,8 +13,11 @@ the third order too, and the parity bit maps of the sets must not differ in more
 What passes all filters is verified on the full sets.
 
 A large group of alike documents is not expanded into pairs. In each bucket (the classes with one prefix token) all are
-compared with one pivot first, and the links give components. While that halves the comparisons left, buckets that still hold
-several components take another pivot from outside their largest one. Then the classes outside the largest component of
+compared with one pivot first, and the links give components. While that lowers the comparisons left by a quarter, the
+classes outside the largest component of a bucket are dealt, by size and by a hash that differs from round to round, into
+some of about SHARE classes; each is compared with two pivots of its own: one of the largest component, one of the others.
+Pivots are those in which the token stands earliest: with few rare tokens before it, they are nearest to what all have in
+common. Then the classes outside the largest component of
 a bucket are compared with all classes of other components, in blocks of bounded size. Pairs of one component need no
 comparison: they cannot change it. Components come by large-star and small-star rounds. Where links are to be counted,
 all pairs of classes of a component are verified: its classes are dealt into blocks, and a task counts the links of two
@@ -27,6 +30,7 @@ others but names no component; a component of null ids only is null. Texts are r
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,8 +53,10 @@ ORDERS, CELL_BITS, PARTS = 3, 21, 32
 ROWS = 1_000_000
 #: Words of 64 bits, as a power of two, of the largest bitmap of shared tokens.
 MARKS = 20
-#: Comparisons left, as a multiple of the rows in buckets, up to which buckets take no further pivot.
+#: Comparisons left, as a multiple of the rows in buckets, up to which buckets take no further pivots.
 LEFT = 16
+#: Classes of a bucket, in expectation, that share their pivots.
+SHARE = 32
 #: Classes of a bucket that one block of comparisons takes.
 BUCKET = 512
 #: Classes and tokens of a block in which links are counted, in expectation; tokens multiplied at once.
@@ -73,6 +79,10 @@ class Threshold:
     def sizes(self, a: Column, b: Column) -> Column:
         return (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
 
+    def cell(self, n: Column, shift: float) -> Column:
+        """Sizes of one cell can reach it; those at a cell's end lie within another one if that is shifted by a half."""
+        return n if self.num == self.den else F.floor(F.log(n) / math.log(self.den / self.num) + shift)
+
     def differ(self, a: Column, b: Column, differ: Column) -> Column:
         """Whether sets of a and b tokens that differ in ``differ`` at least can reach it."""
         return differ * (self.den + self.num) <= (a + b) * (self.den - self.num)
@@ -274,6 +284,17 @@ def _grouped(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(g.join(main.select("h", F.col("x.g").alias("main")), "h"), "grouped")
 
 
+def _star(grouped: DataFrame, t: Threshold, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class outside its bucket's largest group with its two pivots, as far as these are of other groups."""
+    share = F.pmod(F.xxhash64("h", "row", F.lit(turn)), F.ceil(F.col("k") / SHARE))
+    dealt = grouped.withColumns({"cell": t.cell(F.col("n"), turn % 2 / 2), "share": share})
+    pivot, in_main = F.struct((F.col("at") / F.col("n")).alias("early"), "row", "n", "at", "g"), F.col("g") == F.col("main")
+    pivots = dealt.groupBy("h", "cell", "share").agg(F.min(F.when(in_main, pivot)).alias("p"), F.min(F.when(~in_main, pivot)).alias("q"))
+    may = lambda p: (F.col("g") != p["g"]) & t.sizes(F.col("n"), p["n"]) & t.places(F.col("n"), F.col("at"), p["n"], p["at"])
+    both = dealt.filter(~in_main).join(pivots, ["h", "cell", "share"]).select("row", F.explode(F.filter(F.array("p", "q"), may)).alias("p"))
+    return both.select(*_pairs(F.col("row"), F.col("p.row"))).distinct()
+
+
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
@@ -305,18 +326,16 @@ def _links(sets: DataFrame, whole: _Whole, t: Threshold) -> DataFrame:
     pivots = shared.filter("row = pivot").select("h", F.struct("row", "n", "at").alias("p"))
     tried = cut(shared.filter("row <> pivot").join(pivots, "h").filter(near).select(*_pairs(F.col("row"), F.col("p.row"))).distinct(), "tried")
     links = _verified(_candidates(tried, info, sets, t), whole, t)
-    shared, before = shared.drop("pivot"), None
+    shared, before, turn = shared.drop("pivot"), None, 0
     while True:
         grouped = _grouped(shared, components(links))
         outside = F.count(F.when(F.col("g") != F.col("main"), 1))
-        sizes = grouped.groupBy("h").agg(outside.alias("u"), F.count(F.lit(1)).alias("k"))
+        sizes = grouped.groupBy("h", "k").agg(outside.alias("u"))
         left, rows = sizes.agg(F.coalesce(F.sum(F.col("u") * F.col("k")), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if left <= LEFT * rows or (before is not None and 2 * left > before):  # another pivot would not help much
+        if left <= LEFT * rows or (before is not None and 4 * left > 3 * before):  # more pivots would not help much
             break
-        before = left
-        other = grouped.filter("g <> main").groupBy("h").agg(F.min(F.struct("row", "n", "at", "g")).alias("p"))
-        star = grouped.join(other, "h").filter((F.col("g") != F.col("p.g")) & near).select(*_pairs(F.col("row"), F.col("p.row"))).distinct()
-        star = cut(star.join(tried, ["a", "b"], "left_anti"), "star")
+        before, turn = left, turn + 1
+        star = cut(_star(grouped, t, turn).join(tried, ["a", "b"], "left_anti"), "star")
         tried = tried.unionByName(star)
         links = links.unionByName(_verified(_candidates(star, info, sets, t), whole, t))
     if not left:

@@ -112,6 +112,30 @@ def test_a_large_group_makes_few_candidates(spark, monkeypatch):
     assert sum(df.count() for df in made) < 500 * 499 / 2 / 4
 
 
+def _copies(m):
+    """Near copies of one text, of which about three pairs in four are linked; those of the least ids are the farthest off."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, out = [word() for _ in range(200)], []
+    for i in range(m):
+        w = list(base)
+        for _ in range(3 if i < m // 10 else rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = word()
+        out.append(" ".join(w))
+    return out
+
+
+def test_candidates_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    made, sums, inner = [], [], jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: made.append(out := inner(*a)) or out)
+    for m in (100, 400):
+        made.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(list(enumerate(_copies(m))), "doc_id long, text string")).collect()}
+        assert got == dict(enumerate(_groups(_copies(m), 5, 80)))
+        sums.append(sum(df.count() for df in made))
+    assert sums[1] < 8 * sums[0] and sums[1] < 16 * 400
+
+
 @pytest.mark.parametrize("block", [1024, 4])
 def test_every_link_is_counted(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
