@@ -19,8 +19,8 @@ query = REGISTRY.query
 
 
 def coordinate_lines(spark, d):
-    """source, line_no, line: a coordinate file for each structure, of two models."""
-    a = DQ.raw_atoms(spark, d).withColumn("occ", F.lit(1.0)).withColumn("charge", F.lit(""))
+    """source, line_no, line: a coordinate file for each structure, of two models. Coordinates are rounded before, ties away from zero."""
+    a = DQ.raw_atoms(spark, d).withColumns({c: F.round(c, 3) for c in "xyz"}).withColumn("occ", F.lit(1.0)).withColumn("charge", F.lit(""))
     body = structures.pdb_lines(a).select(F.col("structure_id").cast("string").alias("source"), F.col("row_idx").alias("line_no"), "line")
     ids = a.select(F.col("structure_id").cast("string").alias("source")).distinct()
     marks = ids.select("source", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("MODEL        1").alias("l")), F.struct(F.lit(50).alias("n"), F.lit("ENDMDL").alias("l")), F.struct(F.lit(51).alias("n"), F.lit("MODEL        2").alias("l")))).alias("m"))

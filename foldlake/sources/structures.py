@@ -47,13 +47,29 @@ def atom_name(name: Column, element: Column) -> Column:
     return F.when(short, F.format_string(" %-3s", name)).otherwise(F.format_string("%-4s", name))
 
 
+def printed(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
+    """``df`` with the doubles nearest to some columns' values rounded as C's printf does: by the exact binary value, ties to even.
+    Java rounds the shortest decimal form, ties up. The product's rounding error, exact by splitting, decides where it seems a tie."""
+    n = {c: F.lit(float(10**d)) for c, d in decimals.items()}
+    p, w, big, high = ({c: F.col(f"_{k}_{c}") for c in decimals} for k in ("p", "w", "b", "h"))
+    s = df.withColumns({f"_p_{c}": F.col(c) * n[c] for c in decimals} | {f"_b_{c}": F.col(c) * F.lit(134217729.0) for c in decimals})
+    s = s.withColumns({f"_w_{c}": F.rint(p[c]) for c in decimals} | {f"_h_{c}": big[c] - (big[c] - F.col(c)) for c in decimals})
+    for c in decimals:
+        error = (high[c] * n[c] - p[c]) + (F.col(c) - high[c]) * n[c]
+        side = F.when(F.abs(p[c] - w[c]) != 0.5, 0.0).otherwise(F.when(F.signum(error) == F.signum(p[c] - w[c]), F.signum(error)).otherwise(0.0))
+        s = s.withColumn(f"_s_{c}", side)
+    return s.select(*[c for c in df.columns if c not in decimals], *[F.when(F.abs(c) < 1e9, F.when(F.col(f"_s_{c}") == 0, w[c]).otherwise(w[c] + F.col(f"_s_{c}")) / n[c]).otherwise(F.col(c)).alias(c) for c in decimals])
+
+
 def pdb_lines(atoms: DataFrame) -> DataFrame:
-    """structure_id, row_idx, line. Missing texts are blank, missing numbers zero."""
+    """structure_id, row_idx, line. Missing texts are blank, missing numbers zero. Numbers are rounded as printf does."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     number = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind))
+    decimals = {"x": 3, "y": 3, "z": 3, "occ": 2, "temp": 2}
+    a = printed(atoms.withColumns({c: number(c, "double") for c in decimals}), decimals)
     line = F.format_string(PDB_LINE, text("record"), number("serial", "int"), atom_name(text("name"), text("element")), text("alt_loc"), text("res_name"), F.substring(text("chain_id"), 1, 1), number("res_seq", "int"), text("icode"),
-                           *[number(c, "double") for c in ("x", "y", "z", "occ", "temp")], text("segid"), text("element"), text("charge"))
-    return atoms.select("structure_id", "row_idx", line.alias("line"))
+                           *decimals, text("segid"), text("element"), text("charge"))
+    return a.select("structure_id", "row_idx", line.alias("line"))
 
 
 def scan_cif(lines: DataFrame, prefer_auth: bool = True) -> tuple[DataFrame, DataFrame]:
