@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldlake.operators import similarity as S
@@ -54,3 +55,24 @@ def test_segments_by_the_standard_library(spark):
     for r in rows:
         every = [difflib.SequenceMatcher(None, r["fasta"], q).ratio() for q in Q.MATCHES]
         assert got[r["segment_id"]] == (int(np.argmax(every)), max(every))
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch, tmp_path):
+    log, plain = str(tmp_path / "log"), S.matching_letters
+
+    def counted(a, b):
+        with open(log, "a") as f:
+            f.write("x")
+        return plain(a, b)
+
+    df = spark.createDataFrame([(i, "ACDE"[i % 4]) for i in range(30_000)] + [(-1, None)], "chain int, fasta string").coalesce(1)
+    queries = spark.createDataFrame([(0, "AC"), (1, "DW")], "q_idx int, query string")
+    want = S.most_similar(df, queries)
+    assert {(r["chain"] % 4, r["q_idx"]) for r in want.collect() if r["chain"] >= 0} == {(0, 0), (1, 0), (2, 1), (3, 0)}
+    calls = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: calls.append(f) or self)
+    monkeypatch.setattr(S, "matching_letters", counted)
+    S.most_similar(df, queries)
+    batch = pa.RecordBatch.from_pydict({"chain": list(range(5000)), "fasta": ["ACDE"[i % 4] for i in range(5000)]})
+    assert sum(b.num_rows for b in calls[0](iter([batch, batch]))) == 10_000
+    assert len(open(log).read()) <= 8  # four texts, two queries
